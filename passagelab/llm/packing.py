@@ -40,7 +40,7 @@ def tiers(window: int = WINDOW, shortest: int = SHORTEST) -> list[int]:
 class Packer:
     """Packs pieces into sequences; each of these is a list of pieces.
 
-    No waiting tier holds more than `most_waiting` pieces.
+    A tier holds more than `most_waiting` waiting pieces only while all together are less than a window.
     """
 
     def __init__(self, window: int = WINDOW, shortest: int = SHORTEST, most_waiting: int = 256):
@@ -55,7 +55,7 @@ class Packer:
             at += self.window
         if at < n:
             self._wait((doc_id, at, ids[at:], n))
-        while any(len(q) > self.most for q in self.waiting.values()):
+        while self.tokens >= self.window and any(len(q) > self.most for q in self.waiting.values()):
             yield self._fill()
 
     def _wait(self, piece: Piece) -> None:

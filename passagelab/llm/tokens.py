@@ -38,8 +38,6 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Remembers the ids of new pieces. Words after a space are encoded together: the pre-tokenizer parts them again."""
-        if len(self.memory) + len(pieces) > MEMORY:
-            self.memory.clear()
         words = [p for p in pieces if SPACED_WORD(p)]
         if words:
             encoded = self.tokenizer.encode("".join(words), add_special_tokens=False)
@@ -55,11 +53,12 @@ class Encoder:
         usual = [not UNUSUAL.search(t) and not any(s in t for s in self.special) for t in texts]
         pieces = [PIECES.findall(t) if ok else None for t, ok in zip(texts, usual)]
         met = set().union(*[p for p in pieces if p is not None])
-        if new := met.difference(self.memory):
-            before = len(self.memory)
+        new = met.difference(self.memory)
+        if len(self.memory) + len(new) > MEMORY:
+            self.memory.clear()
+            new = met
+        if new:
             self.learn(new)
-            if len(self.memory) < before + len(new) and (again := met.difference(self.memory)):
-                self.learn(again)  # the memory was emptied
         memory = self.memory
         return [self.whole(t) if p is None else b"".join([memory[x] for x in p]) for t, p in zip(texts, pieces)]
 
