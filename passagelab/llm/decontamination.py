@@ -22,6 +22,8 @@ WINDOW, NEAR = 13, 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of what is no word, as Java and as DuckDB read it.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before letters are lower-cased.
+CASED_GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def split_words(text):
@@ -34,7 +36,9 @@ def word_list(text):
 
 
 def word_count(text):
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    words = F.split(F.coalesce(text, F.lit("")), CASED_GAPS)
+    ends = F.element_at(words, 1).eqNullSafe("").cast("int") + F.element_at(words, -1).eqNullSafe("").cast("int")
+    return F.greatest(F.lit(0), F.size(words) - ends).cast("long")
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
