@@ -1,29 +1,24 @@
 """Byte-level BPE ids by the tokenizers library, with a memory of words.
 
-BPE works within the pieces that the byte-level pre-tokenizer cuts, so a piece's ids are the same
-in every text. Each Python worker remembers the ids of the pieces that it has met (up to MEMORY
-pieces) and gives only new ones to the library.
+The byte-level pre-tokenizer begins a new piece at every single space that stands between other characters, and
+BPE works within pieces. A word with the space before it so has the same ids in every text. Each Python worker
+remembers the ids of the words that it has met, up to a bound, and gives only new ones to the library, many
+at a time: of a word's tokens only the first holds a space, which tells them apart again. Texts in which white space
+meets white space beside a space go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-MEMORY = 600_000
-
-#: Texts with other characters than these go to the library whole: there, classes of letters and digits of
-#: Unicode versions and of the two pattern languages may differ.
-UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ‐-‧]")
-LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: The byte-level pre-tokenizer's pattern, written for those characters, frequent kinds first where the order is free.
-PIECES = re.compile(rf" ?[{LETTER}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
-SPACED_WORD = re.compile(rf" [{LETTER}]+").fullmatch
-BARE_WORD = re.compile(rf"[{LETTER}]+").fullmatch
+#: Words, and characters of them, that a worker remembers.
+MEMORY, MEMORY_CHARS = 800_000, 25_000_000
 #: New words that are encoded as one text; the library's time for each grows with longer texts.
 TOGETHER = 1000
+#: What any pattern language may take for white space, beside what Python does.
+MORE_SPACE = "᠎​⁠﻿"
 
 
 class Encoder:
@@ -34,49 +29,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {}
+        #: Of a word after a space; None for what is no word: empty, or with white space at an end.
+        self.memory: dict[str, bytes | None] = {}
+        self.chars = 0
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(size)])
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
-        """Remembers the ids of new pieces.
-
-        Words are encoded together, as the pre-tokenizer parts them again: of a word after a space only the first token
-        holds a space, and words without one are put on lines, whose ends are tokens by themselves.
-        """
-        spaced, bare, others = [], [], []
-        for piece in pieces:
-            (spaced if SPACED_WORD(piece) else bare if BARE_WORD(piece) else others).append(piece)
-        for words, mark in ((spaced, ""), (bare, "\n")):
-            groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-            texts = ["".join([mark + w for w in g]) for g in groups]
-            for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array(encoded.ids, "<u4")
-                first = np.flatnonzero(ids == self.line_end if mark else self.spaced[ids])
-                ends = np.append(first[1:], len(ids)) * 4
-                data = ids.tobytes()
-                for word, a, b in zip(group, ((first + bool(mark)) * 4).tolist(), ends.tolist()):
-                    self.memory[word] = data[a:b]
-        for piece, encoded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.memory[piece] = np.array(encoded.ids, "<u4").tobytes()
+    def learn(self, words: set[str]) -> None:
+        memory, good = self.memory, []
+        for word in words:
+            if not word or _is_space(word[0]) or _is_space(word[-1]):
+                memory[word] = None
+            else:
+                good.append(word)
+        self.chars += sum(map(len, words))
+        groups = [good[k : k + TOGETHER] for k in range(0, len(good), TOGETHER)]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            first = np.flatnonzero(self.spaced[ids])
+            data, ends = ids.tobytes(), np.append(first[1:], len(ids)) * 4
+            for word, a, b in zip(group, (first * 4).tolist(), ends.tolist()):
+                memory[word] = data[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        usual = [not UNUSUAL.search(t) and not any(s in t for s in self.special) for t in texts]
-        pieces = [PIECES.findall(t) if ok else None for t, ok in zip(texts, usual)]
-        met = set().union(*[p for p in pieces if p is not None])
+        words = [[] if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        heads = [w.pop(0) if w else None for w in words]
+        met = set().union(*words)
         new = met.difference(self.memory)
-        if len(self.memory) + len(new) > MEMORY:
+        if len(self.memory) + len(new) > MEMORY or self.chars > MEMORY_CHARS:
             self.memory.clear()
-            new = met
+            self.chars, new = 0, met
         if new:
             self.learn(new)
-        memory = self.memory
-        return [self.whole(t) if p is None else b"".join([memory[x] for x in p]) for t, p in zip(texts, pieces)]
+        memory, out = self.memory, []
+        begun = self.tokenizer.encode_batch_fast([h or "" for h in heads], add_special_tokens=False)
+        for text, head, own, start in zip(texts, heads, words, begun):
+            if head is None or head and own and _is_space(head[-1]):
+                out.append(self.whole(text))
+                continue
+            try:
+                out.append(np.array(start.ids, "<u4").tobytes() + b"".join([memory[w] for w in own]))
+            except TypeError:  # something in it is no word
+                out.append(self.whole(text))
+        return out
+
+
+def _is_space(character: str) -> bool:
+    return character.isspace() or character in MORE_SPACE
 
 
 _encoders: dict[str, Encoder] = {}

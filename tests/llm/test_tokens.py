@@ -23,7 +23,11 @@ def crc(ids):
 
 
 def test_memory_gives_the_library_s_ids(ids_of):
-    texts = ["", " ", "a  b", "It's we'll THEY'RE x'y", "\n\n a\t\t b ", "don't  \n", "naïve déjà 😀 漢字 \x1c \x85   ²³ ½", "<|endoftext|> x<|endoftext|>", "a_b __ 12 3.4e5", " ſK ǅ", "z" * 3000]
+    texts = ["", " ", "a  b", "It's we'll THEY'RE x'y", "\n\n a\t\t b ", "don't  \n", "naïve déjà 😀 漢字 \x1c \x85   ²³ ½", "<|endoftext|> x<|endoftext|>", "a_b __ 12 3.4e5", " ſK ǅ", "z" * 3000, "a b ", "a \n b", "a\n b\n", "a \u200bb \x1c c \x85d", "x\u00a0 y", "it 's 're ' s", "  ", "\n a", "é è\u3000ê", "a\nb c\n\nd e"]
+    import random
+
+    rng = random.Random(1)
+    texts += ["".join(rng.choice(["a", "be", " ", " ", " ", "\n", "'s", "1", ".", "é", "\t", "\xa0", "\x1f", "漢"]) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
     encoder = Encoder(default_path())
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [ids_of(t) for t in texts]
