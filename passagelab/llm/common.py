@@ -92,7 +92,7 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     return df.mapInArrow(function, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_rows: int = 256, most_chars: int = 4_000_000) -> Iterator[tuple[int, list]]:
+def slices(batch: pa.RecordBatch, column: str, most_rows: int = 256, most_chars: int = 1_000_000) -> Iterator[tuple[int, list]]:
     """(first row, values) of pieces of a batch that are bounded in rows and, but for single rows, in characters."""
     values = batch.column(column)
     start, chars, piece = 0, 0, []

@@ -24,7 +24,7 @@ from passagelab.llm.common import map_batches
 UNKNOWN = "und"
 DIMENSIONS, SEED = 1024, 20_011
 SPACE, WIDE = 32, np.int64(21)
-#: Trigram vectors that a worker remembers (4 MB for a thousand); others are made again when met.
+#: Trigram vectors that a task remembers (4 MB for a thousand); others are made again when met.
 REMEMBERED = 12_000
 #: Counts that a training task holds before it passes them on.
 MOST_COUNTS = 200_000
@@ -100,13 +100,6 @@ class Space:
         return counts.astype(np.float32) @ self.rows[[at[g] for g in keys]]
 
 
-_spaces: dict[tuple[int, int], Space] = {}
-
-
-def space(dimensions: int, seed: int) -> Space:
-    return _spaces.setdefault((dimensions, seed), Space(dimensions, seed))
-
-
 @dataclass(frozen=True)
 class Model:
     """Languages in ascending order and their prototypes, each of length one."""
@@ -194,7 +187,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = space(model.dimensions, model.seed)
+        vectors = Space(model.dimensions, model.seed)
         for batch in batches:
             found = [predict_text(x.as_py(), model, vectors) for x in batch.column(text_col)]
             langs, scores = [x for x, _ in found], [x for _, x in found]
