@@ -145,32 +145,32 @@ class TextJudge:
     def pair_scores(self, df, pairs, out):
         lines = F.transform(pairs, lambda p, i: F.concat(F.lit("Pair "), i + 1, F.lit("\nA: "), F.left(p["a"], F.lit(PAIR_CHARS)), F.lit("\nB: "), F.left(p["b"], F.lit(PAIR_CHARS))))
         ask = F.concat(F.lit("Rate how similar in meaning the two texts of each pair are, from 0 to 1. Answer with a JSON array of numbers only.\n\n"), F.array_join(lines, "\n\n"))
-        asked = self.complete(df.withColumn("_ask", F.when(F.size(pairs) > 0, ask)), "_ask", "_said", 256)
-        said = F.col("_said.text")
+        asked = self.complete(df.withColumn("_ask", F.when(F.size(pairs) > 0, ask)), "_ask", "_answer", 256)
+        said = F.col("_answer.text")
         half = F.transform(pairs, lambda _: F.lit(0.5))
         damaged = F.raise_error(F.concat(F.lit("scores cannot be read: "), said)).cast("array<double>")
         scores = F.when(F.size(pairs) == 0, F.array().cast("array<double>")).when(~T.has_number_list(said), half).otherwise(F.coalesce(T.number_list(said), damaged))
-        return asked.withColumn(out, F.coalesce(scores, half)).drop("_ask", "_said")
+        return asked.withColumn(out, F.coalesce(scores, half)).drop("_ask", "_answer")
 
     def self_scores(self, df, items, out):
         ask = F.transform(items, lambda t: F.concat(F.lit("Rate how coherent in meaning this text is, from 0 to 1. Answer with a JSON array of one number only.\n\n"), F.left(t, F.lit(PAIR_CHARS))))
-        asked = self._each(df, ask, "_said", 256)
-        return asked.withColumn(out, F.transform("_said", lambda s: F.coalesce(F.get(T.number_list(s["text"]), F.lit(0)), F.lit(0.5)))).drop("_said")
+        asked = self._each(df, ask, "_answer", 256)
+        return asked.withColumn(out, F.transform("_answer", lambda s: F.coalesce(F.get(T.number_list(s["text"]), F.lit(0)), F.lit(0.5)))).drop("_answer")
 
     def weakest(self, df, parts, out):
         lines = lambda p: F.array_join(F.transform(p, lambda s, i: F.concat(i, F.lit(": "), s)), "\n")
         ask = F.transform(parts, lambda p: F.when(F.size(p) > 2, F.concat(F.lit('Which sentence is tied least to those around it? Answer with a JSON object only: {"index": number}\n\n'), lines(p))))
-        asked = self._each(df, ask, "_said", 64)
-        return asked.withColumn(out, F.transform("_said", lambda s: T.first_object(s["text"], "struct<index: int>")["index"])).drop("_said")
+        asked = self._each(df, ask, "_answer", 64)
+        return asked.withColumn(out, F.transform("_answer", lambda s: T.first_object(s["text"], "struct<index: int>")["index"])).drop("_answer")
 
     def summaries(self, df, items, out, most_words):
         ask = F.transform(items, lambda t: F.concat(F.lit(f"Say in one sentence of at most {most_words} words what this text is about, and nothing else.\n\n"), t))
-        asked = self._each(df, ask, "_said", 80)
-        return asked.withColumn(out, F.transform("_said", lambda s: F.struct(T.trim(s["text"]).alias("text"), s["error"].alias("error")))).drop("_said")
+        asked = self._each(df, ask, "_answer", 80)
+        return asked.withColumn(out, F.transform("_answer", lambda s: F.struct(T.trim(s["text"]).alias("text"), s["error"].alias("error")))).drop("_answer")
 
     def _list(self, df: DataFrame, ask: Column, out: str, most_tokens: int, schema: str) -> DataFrame:
-        asked = self.complete(df.withColumn("_ask", ask), "_ask", "_said", most_tokens)
-        return asked.withColumn(out, T.widest_list(F.col("_said.text"), schema)).drop("_ask", "_said")
+        asked = self.complete(df.withColumn("_ask", ask), "_ask", "_answer", most_tokens)
+        return asked.withColumn(out, T.widest_list(F.col("_answer.text"), schema)).drop("_ask", "_answer")
 
     def passages(self, df, text, out, most_tokens, window):
         rules = f'Cut the text into passages of at most {most_tokens} tokens, with a context of {window} tokens in mind. Answer with a JSON array of {{"chunk": exact text, "contextDependencies": [what it leans on]}} only.\n\n'
@@ -183,18 +183,18 @@ class TextJudge:
 
     def split_sections(self, df, items, out, most_tokens):
         ask = F.transform(items, lambda t: F.concat(F.lit(f"Cut this section into coherent parts of at most {most_tokens} tokens. Answer with a JSON array of the parts' exact texts only.\n\n"), t))
-        asked = self._each(df, ask, "_said", 256)
-        return asked.withColumn(out, F.transform("_said", lambda s: T.widest_list(s["text"], "array<string>"))).drop("_said")
+        asked = self._each(df, ask, "_answer", 256)
+        return asked.withColumn(out, F.transform("_answer", lambda s: T.widest_list(s["text"], "array<string>"))).drop("_answer")
 
     def self_contained(self, df, text, out):
         ask = F.concat(F.lit('How well can this passage be understood by itself, from 0 to 1? Answer with a JSON object only: {"score": number}\n\n'), F.left(F.col(text), F.lit(SELF_CHARS)))
-        asked = self.complete(df.withColumn("_ask", ask), "_ask", "_said", 128)
-        return asked.withColumn(out, F.coalesce(T.first_object(F.col("_said.text"), SCORE)["score"], F.lit(0.5))).drop("_ask", "_said")
+        asked = self.complete(df.withColumn("_ask", ask), "_ask", "_answer", 128)
+        return asked.withColumn(out, F.coalesce(T.first_object(F.col("_answer.text"), SCORE)["score"], F.lit(0.5))).drop("_ask", "_answer")
 
     def boundary(self, df, a, b, out):
         ask = F.concat(F.lit('How natural is the break between these two passages, from 0 to 1? Answer with a JSON object only: {"score": number}\n\nEnd of the first: '), F.right(F.col(a), F.lit(EDGE_CHARS)), F.lit("\n\nBegin of the second: "), F.left(F.col(b), F.lit(EDGE_CHARS)))
-        asked = self.complete(df.withColumn("_ask", ask), "_ask", "_said", 128)
-        return asked.withColumn(out, F.coalesce(T.first_object(F.col("_said.text"), SCORE)["score"], F.lit(0.5))).drop("_ask", "_said")
+        asked = self.complete(df.withColumn("_ask", ask), "_ask", "_answer", 128)
+        return asked.withColumn(out, F.coalesce(T.first_object(F.col("_answer.text"), SCORE)["score"], F.lit(0.5))).drop("_ask", "_answer")
 
 
 @dataclass
