@@ -91,7 +91,7 @@ class Space:
         if new:
             have = len(self.of_gram)
             if have + len(new) > len(self.rows):
-                grown = np.empty((max(1024, 2 * (have + len(new))), self.dimensions), np.float32)
+                grown = np.empty((min(REMEMBERED, max(1024, 2 * (have + len(new)))), self.dimensions), np.float32)
                 grown[:have] = self.rows[:have]
                 self.rows = grown
             self.rows[have : have + len(new)] = self.bind(np.array(new, np.int64))
