@@ -143,7 +143,7 @@ def test_failed_windows_leave_gaps(spark):
 
     text = "g" * 300 + "BAD" + "h" * 300
     chunks = S.SlidingSummary(size=200, overlap=0).apply(docs(spark, [(1, text)]), FunctionJudge(function=say)).collect()[0]
-    assert [c.index for c in chunks.chunks] == [0, 2, 3] and chunks.api_calls == 4
+    assert [c["index"] for c in chunks.chunks] == [0, 2, 3] and chunks.api_calls == 4
     assert chunks.chunks[0].summary == "a summary" and chunks.chunks[0].embedding_input == "a summary\n\n" + "g" * 200
 
 
