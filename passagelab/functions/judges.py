@@ -13,7 +13,8 @@ import os
 import re
 import time
 import urllib.request
-from collections.abc import Callable, Iterator
+import warnings
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -84,7 +85,12 @@ class HeuristicJudge:
     usd: tuple[float, float] = (0.0, 0.0)
 
     def pair_scores(self, df, pairs, out):
-        return df.withColumn(out, F.transform(pairs, lambda p: T.jaccard(F.left(p["a"], F.lit(PAIR_CHARS)), F.left(p["b"], F.lit(PAIR_CHARS)))))
+        # pairs are neighbours of one list: each text's words are made once
+        bag = lambda t: T.word_bag(F.left(t, F.lit(PAIR_CHARS)))
+        bags = lambda v: F.concat(F.transform(v, lambda p: bag(p["a"])), F.array(bag(F.get(v, F.size(v) - 1)["b"])))
+        scores = lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), T.bag_jaccard)
+        none = F.array().cast("array<double>")
+        return df.withColumn(out, T.let(F.col(pairs) if isinstance(pairs, str) else pairs, lambda v: F.when(F.size(v) > 0, T.let(bags(v), scores)).when(F.size(v) == 0, none)))
 
     def self_scores(self, df, items, out):
         return df.withColumn(out, F.transform(items, lambda _: F.lit(1.0)))
@@ -211,42 +217,67 @@ class ReplayJudge(TextJudge):
         return joined.withColumn(out, F.when(F.col(prompt).isNotNull(), F.coalesce(out, missing)))
 
 
+ANSWERS = "_sha string, text string, input_tokens int, output_tokens int, error string"
+
+
 @dataclass
 class FunctionJudge(TextJudge):
-    """Answers by a Python function of (prompt, most_tokens) on the executors, each distinct prompt once."""
+    """Answers by a Python function of (prompt, most_tokens) on the executors, each distinct prompt once.
+
+    answers: the path of a table that keeps answers. They are written there before anything reads them, so a plan that runs again asks (and
+    pays) only for prompts that it does not have; answers with an error are asked again. Without it a plan that is computed twice asks twice.
+    """
 
     function: Callable[[str, int], dict] = None
     pause: float = 0.0
     most_partitions: int | None = None
     name: str = "function"
+    answers: str | None = None
 
     def complete(self, df, prompt, out, most_tokens):
-        function, pause = self.function, self.pause
-        asked = df.select(F.col(prompt).alias("_p")).where("_p is not null").distinct()
+        function, pause, spark = self.function, self.pause, df.sparkSession
+        df = df.withColumn("_sha", F.sha2(F.concat(F.lit(f"{self.name}\0{most_tokens}\0"), F.col(prompt)).cast("binary"), 256))
+        asked = df.where("_sha is not null").select("_sha", F.col(prompt).alias("_p")).dropDuplicates(["_sha"])
+        known = self._known(spark) if self.answers else None
+        if known is not None:
+            asked = asked.join(known.where("error is null").select("_sha"), "_sha", "left_anti")
         if self.most_partitions:
-            asked = asked.coalesce(self.most_partitions)
+            asked = asked.repartition(self.most_partitions)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 rows = []
-                for p in frame["_p"]:
+                for sha, p in zip(frame["_sha"], frame["_p"]):
                     try:
                         said = function(p, most_tokens)
-                        rows.append((p, said.get("text"), int(said.get("input_tokens", 0)), int(said.get("output_tokens", 0)), None))
+                        rows.append((sha, said.get("text"), int(said.get("input_tokens", 0)), int(said.get("output_tokens", 0)), None))
                     except Exception as error:  # an answer that fails is a row, not a lost job
-                        rows.append((p, None, 0, 0, str(error)[:500]))
+                        rows.append((sha, None, 0, 0, str(error)[:500]))
                     time.sleep(pause)
-                yield pd.DataFrame(rows, columns=["_q", "text", "input_tokens", "output_tokens", "error"])
+                yield pd.DataFrame(rows, columns=["_sha", "text", "input_tokens", "output_tokens", "error"])
+
+        ship(spark)
+        told = asked.mapInPandas(run, ANSWERS)
+        if self.answers:
+            told.write.mode("append").parquet(self.answers)
+            best = F.max_by(F.struct("text", "input_tokens", "output_tokens", "error"), F.col("error").isNull())
+            told = self._known(spark).groupBy("_sha").agg(best.alias(out))
+        else:
+            told = told.select("_sha", F.struct("text", "input_tokens", "output_tokens", "error").alias(out))
+        return df.join(told, "_sha", "left").drop("_sha")
 
-        ship(df.sparkSession)
-        told = asked.mapInPandas(run, "_q string, text string, input_tokens int, output_tokens int, error string")
-        told = told.select("_q", F.struct("text", "input_tokens", "output_tokens", "error").alias(out))
-        return df.join(told, F.col(prompt) == F.col("_q"), "left").drop("_q")
+    def _known(self, spark) -> DataFrame | None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.answers)
+        exists = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+        return spark.read.schema(ANSWERS).parquet(self.answers) if exists else None
 
 
 @dataclass(frozen=True)
 class Provider:
-    """A service that completes prompts. The key is read from the executors' environment and is never a column."""
+    """A service that completes prompts. The key is read from the executors' environment and is never a column.
+
+    With `streamed` the answer is asked for token by token and put together, so long answers keep the connection alive; the result is the same.
+    """
 
     kind: str
     model: str
@@ -254,19 +285,23 @@ class Provider:
     key_variable: str = ""
     timeout: float = 120.0
     extra: dict = field(default_factory=dict)
+    streamed: bool = False
 
     def request(self, prompt: str, most_tokens: int) -> tuple[str, dict, dict]:
         """(url, headers, body)."""
         key = os.environ.get(self.key_variable, "") if self.key_variable else ""
+        if self.key_variable and not key:
+            raise ValueError(f"the environment variable {self.key_variable} has no key")
         if self.kind == "anthropic":
             base = self.base_url or "https://api.anthropic.com"
-            return f"{base}/v1/messages", {"x-api-key": key, "anthropic-version": "2023-06-01"}, {"model": self.model, "max_tokens": most_tokens, "messages": [{"role": "user", "content": prompt}], **self.extra}
+            return f"{base}/v1/messages", {"x-api-key": key, "anthropic-version": "2023-06-01"}, {"model": self.model, "max_tokens": most_tokens, "messages": [{"role": "user", "content": prompt}], **({"stream": True} if self.streamed else {}), **self.extra}
         if self.kind == "gemini":
             base = self.base_url or "https://generativelanguage.googleapis.com"
-            return f"{base}/v1beta/models/{self.model}:generateContent", {"x-goog-api-key": key}, {"contents": [{"role": "user", "parts": [{"text": prompt}]}], "generationConfig": {"maxOutputTokens": most_tokens}, **self.extra}
+            verb = "streamGenerateContent?alt=sse" if self.streamed else "generateContent"
+            return f"{base}/v1beta/models/{self.model}:{verb}", {"x-goog-api-key": key}, {"contents": [{"role": "user", "parts": [{"text": prompt}]}], "generationConfig": {"maxOutputTokens": most_tokens}, **self.extra}
         if self.kind == "ollama":
             base = self.base_url or "http://localhost:11434"
-            body = {"model": self.model, "stream": False, "options": {"num_predict": most_tokens}, "messages": [{"role": "user", "content": prompt}], **self.extra}
+            body = {"model": self.model, "stream": self.streamed, "options": {"num_predict": most_tokens}, "messages": [{"role": "user", "content": prompt}], **self.extra}
             return f"{base}/api/chat", {}, body | ({"think": False} if re.search("qwen3", self.model, re.I) else {})
         raise ValueError(f"unknown provider {self.kind}")
 
@@ -284,9 +319,32 @@ class Provider:
         url, headers, body = self.request(prompt, most_tokens)
         asked = urllib.request.Request(url, json.dumps(body).encode(), {"content-type": "application/json", **headers})
         with urllib.request.urlopen(asked, timeout=self.timeout) as reply:
-            return self.answer(json.load(reply))
-
-
-def http_judge(provider: Provider, pause: float = 0.2, most_partitions: int = 1) -> FunctionJudge:
-    """A judge that asks a service: `most_partitions` tasks, each waiting `pause` seconds between calls."""
-    return FunctionJudge(name=f"{provider.kind}:{provider.model}", usd=price(provider.kind, provider.model), function=provider, pause=pause, most_partitions=most_partitions)
+            return self.gathered(reply) if self.streamed else self.answer(json.load(reply))
+
+    def gathered(self, lines: Iterable[bytes]) -> dict:
+        """A streamed answer put together: its text in order, and the last counts of tokens that it names."""
+        out = {"text": "", "input_tokens": 0, "output_tokens": 0}
+        for line in lines:
+            data = line.decode("utf-8", "replace").strip().removeprefix("data:").strip()
+            if not data.startswith("{"):
+                continue  # names of events, empty lines, an end mark
+            part = json.loads(data)
+            if part.get("error"):
+                raise ValueError(str(part["error"])[:500])
+            if self.kind == "anthropic":
+                use = part.get("usage") or part.get("message", {}).get("usage") or {}
+                said = {"text": part.get("delta", {}).get("text", ""), "input_tokens": use.get("input_tokens", 0), "output_tokens": use.get("output_tokens", 0)}
+            else:
+                said = self.answer(part)
+            out = {"text": out["text"] + (said["text"] or ""), "input_tokens": said["input_tokens"] or out["input_tokens"], "output_tokens": said["output_tokens"] or out["output_tokens"]}
+        return out
+
+
+def http_judge(provider: Provider, pause: float = 0.2, most_partitions: int = 4, answers: str | None = None) -> FunctionJudge:
+    """A judge that asks a service: `most_partitions` tasks, each waiting `pause` seconds between calls. answers: a table that keeps them.
+
+    Warns if the key is not in the driver's environment; where the executors have none either, each answer is a row with that error.
+    """
+    if provider.key_variable and not os.environ.get(provider.key_variable):
+        warnings.warn(f"{provider.key_variable} is not set here; the executors need it", stacklevel=2)
+    return FunctionJudge(answers=answers, name=f"{provider.kind}:{provider.model}", usd=price(provider.kind, provider.model), function=provider, pause=pause, most_partitions=most_partitions)

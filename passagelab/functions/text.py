@@ -108,10 +108,17 @@ def upper_median(values: Column, default: float) -> Column:
     return F.coalesce(middle, F.lit(default))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """The cosine of two arrays of numbers, in doubles; 0 if either has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    lengths = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """The cosine of two arrays of numbers, in doubles; 0 if either has no length. Norms that are known need not be computed for each pair."""
+    lengths = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
     return F.coalesce(F.try_divide(dot(a, b), F.nullif(lengths, F.lit(0.0))), F.lit(0.0))
 
 
@@ -120,10 +127,20 @@ def heading_level(ratio: Column) -> Column:
     return F.when(ratio >= 1.8, 1).when(ratio >= 1.4, 2).when(ratio >= 1.15, 3)
 
 
+def word_bag(text: Column) -> Column:
+    """The distinct lower-case words of a text."""
+    return F.array_distinct(F.filter(lower_words(text), lambda w: w != ""))
+
+
+def bag_jaccard(a: Column, b: Column) -> Column:
+    """Share of their words that two bags have in common; 0 if neither has one. Each should be bound, see `let`."""
+    common = F.size(F.array_intersect(a, b))
+    return let(common, lambda both: F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of the distinct lower-case words that two texts have in common; 0 if neither has one."""
-    words = lambda t: F.array_distinct(F.filter(lower_words(t), lambda w: w != ""))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(words(a), words(b))), F.size(F.array_union(words(a), words(b)))), F.lit(0.0))
+    return let(F.struct(word_bag(a).alias("a"), word_bag(b).alias("b")), lambda x: bag_jaccard(x["a"], x["b"]))
 
 
 def _fixed_one(value: float | None, digits: int) -> str | None:

@@ -313,3 +313,101 @@ def test_stream_equals_batch(spark, tmp_path):
     want = sorted((r.doc_id, r["index"], r.text) for r in S.chunk_documents(docs(spark), S.SlidingSummary()).collect())
     assert got == want
     assert stream.chunk_counts(chunks).isStreaming
+
+
+def test_settings_of_a_file_and_the_environment(spark, tmp_path):
+    from passagelab.sources.settings import Settings, load_settings
+
+    (tmp_path / "s.json").write_text('{"provider": "ollama", "top_k": 3, "pause": 0}')
+    found = load_settings(spark, str(tmp_path / "s.json"), {"PASSAGELAB_TOP_K": "7", "PASSAGELAB_MODEL": "m"})
+    assert found == Settings(provider="ollama", top_k=7, pause=0.0, model="m") and load_settings(environment={}) == Settings()
+    for bad in ({"PASSAGELAB_PROVIDER": "x"}, {"PASSAGELAB_SELF_SAMPLE": "2"}, {"PASSAGELAB_EMBEDDING_MODE": "x"}):
+        with pytest.raises(ValueError):
+            load_settings(environment=bad)
+    (tmp_path / "t.json").write_text('{"colour": 1}')
+    with pytest.raises(ValueError):
+        load_settings(spark, str(tmp_path / "t.json"), {})
+
+
+def test_streamed_answers_are_put_together(monkeypatch):
+    from passagelab.functions.judges import Provider
+
+    anthropic = [b"event: message_start\n", b'data: {"type":"message_start","message":{"usage":{"input_tokens":12,"output_tokens":1}}}\n', b"\n", b'data: {"type":"content_block_delta","delta":{"type":"text_delta","text":"Hel"}}\n', b'data: {"type":"content_block_delta","delta":{"text":"lo"}}\n', b'data: {"type":"message_delta","delta":{},"usage":{"output_tokens":5}}\n']
+    assert Provider("anthropic", "m", streamed=True).gathered(anthropic) == {"text": "Hello", "input_tokens": 12, "output_tokens": 5}
+    gemini = [b'data: {"candidates":[{"content":{"parts":[{"text":"a"}]}}]}\n', b'data: {"candidates":[{"content":{"parts":[{"text":"b"}]}}],"usageMetadata":{"promptTokenCount":3,"candidatesTokenCount":2}}\n']
+    assert Provider("gemini", "m").gathered(gemini) == {"text": "ab", "input_tokens": 3, "output_tokens": 2}
+    ollama = [b'{"message":{"content":"x"}}\n', b'{"message":{"content":"y"},"done":true,"prompt_eval_count":4,"eval_count":2}\n']
+    assert Provider("ollama", "m").gathered(ollama) == {"text": "xy", "input_tokens": 4, "output_tokens": 2}
+    with pytest.raises(ValueError):
+        Provider("ollama", "m").gathered([b'{"error":"overloaded"}'])
+    assert Provider("gemini", "m", streamed=True).request("p", 5)[0].endswith(":streamGenerateContent?alt=sse")
+    monkeypatch.delenv("NO_SUCH_KEY", raising=False)
+    with pytest.raises(ValueError, match="NO_SUCH_KEY"):
+        Provider("anthropic", "m", key_variable="NO_SUCH_KEY").request("p", 5)
+
+
+def test_answers_are_kept(spark, tmp_path):
+    from passagelab.functions.judges import FunctionJudge
+
+    log = tmp_path / "asked"
+
+    def answer(prompt, most):
+        with log.open("a") as f:
+            f.write(f"{prompt}\n")
+        if prompt == "bad":
+            raise OSError("no")
+        return {"text": prompt.upper(), "input_tokens": 1, "output_tokens": 2}
+
+    judge = FunctionJudge(function=answer, answers=str(tmp_path / "answers"))
+    df = spark.createDataFrame([("a",), ("b",), ("a",), (None,), ("bad",)], "p string")
+    for _ in range(2):
+        rows = [(r.p, r.said and (r.said.text, r.said.error)) for r in judge.complete(df, "p", "said", 9).collect()]
+        assert sorted(rows, key=repr) == sorted([("a", ("A", None)), ("b", ("B", None)), ("a", ("A", None)), (None, None), ("bad", (None, "no"))], key=repr)
+    assert sorted(log.read_text().split()) == ["a", "b", "bad", "bad"]
+
+
+PDFMINER = {
+    "pdfminer/__init__.py": "",
+    "pdfminer/layout.py": """
+class LTTextLine:
+    def __init__(self, text, height):
+        self.text, self.height = text, height
+
+    def get_text(self):
+        return self.text + chr(10)
+
+
+class LTTextContainer(list):
+    pass
+""",
+    "pdfminer/high_level.py": """
+from pdfminer.layout import LTTextContainer, LTTextLine
+
+
+def extract_pages(stream):
+    for page in stream.read().decode().split("|"):
+        yield [LTTextContainer(LTTextLine(t, 10.0 + len(t)) for t in page.split(";")), "a figure"]
+""",
+}
+
+
+def test_pdf_files_with_a_stand_in_for_the_library(spark, tmp_path, monkeypatch):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "stand_in.zip", "w") as bundle:
+        for name, code in PDFMINER.items():
+            bundle.writestr(name, code)
+    spark.sparkContext.addPyFile(str(tmp_path / "stand_in.zip"))
+    files = spark.createDataFrame([("d1", bytearray(b"Title;some text|more")), ("d2", bytearray(b"one"))], "doc_id string, content binary")
+    found = sorted((r.doc_id, r.page, r.seq, r.str, r.height) for r in pdf.extract_items(files).collect())
+    assert found == [("d1", 1, 0, "Title", 15.0), ("d1", 1, 1, "some text", 19.0), ("d1", 2, 0, "more", 14.0), ("d2", 1, 0, "one", 13.0)]
+
+
+def test_chunking_computes_its_parts_once(spark):
+    from passagelab.functions.judges import HeuristicJudge
+    from passagelab.operators.passages import as_documents
+    from passagelab.operators.strategies import KamradtSemantic
+
+    docs = as_documents(spark.createDataFrame([(1, "One two. Three four.")], "doc_id long, text string"))
+    plan = KamradtSemantic().apply(docs, HeuristicJudge())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") < 40
