@@ -29,6 +29,54 @@ def sampled_pairs(runs: DataFrame, most: int) -> DataFrame:
     return runs.select("doc_id", "strategy_id", F.explode(pairs).alias("p")).select("doc_id", "strategy_id", "p.a", "p.b")
 
 
+SUMS = ("n", "t", "tt", "useful", "words", "indexed")
+
+
+def judged(runs: DataFrame, judge: Judge, self_sample: int, boundary_sample: int) -> DataFrame:
+    """One row for each sampled chunk or pair of neighbours of each run, and one for a run without any, in one pass over the chunks.
+
+    SUMS: chunks, tokens, squares of tokens, useful and all words, and tokens that are indexed, of the whole run; they stand in its first row only, the others
+    have 0. own and edge: the judged scores, null where the row is no chunk or no pair. runs: one row with `chunks` for each run.
+    """
+    total = lambda f: F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + f(c))
+    none = F.lit(None).cast("string")
+    chunk = lambda c, i: F.struct(F.get(c, i)["text"].alias("text"), none.alias("a"), none.alias("b"))
+    pair = lambda c, i: F.struct(none.alias("text"), F.get(c, i)["text"].alias("a"), F.get(c, i + 1)["text"].alias("b"))
+    own = T.let(F.col("chunks"), lambda c: F.transform(K.sample_places(F.size(c), self_sample), lambda i: chunk(c, i)))
+    edges = T.let(F.col("chunks"), lambda c: F.transform(K.sample_places(F.greatest(F.size(c) - 1, F.lit(0)), boundary_sample), lambda i: pair(c, i)))
+    rows = runs.select(
+        "doc_id",
+        "strategy_id",
+        F.size("chunks").cast("long").alias("n"),
+        total(lambda c: c["tokens"]).alias("t"),
+        total(lambda c: c["tokens"].cast("long") * c["tokens"]).alias("tt"),
+        total(lambda c: T.useful_words(c["text"])).alias("useful"),
+        total(lambda c: T.total_words(c["text"])).alias("words"),
+        total(lambda c: T.estimate_tokens(F.coalesce(c["embedding_input"], c["text"]))).alias("indexed"),
+        F.posexplode_outer(F.concat(own, edges)).alias("place", "sample"),
+    )
+    first = F.coalesce("place", F.lit(0)) == 0
+    rows = rows.select("doc_id", "strategy_id", *[F.when(first, F.col(c)).otherwise(F.lit(0).cast("long")).alias(c) for c in SUMS], "sample.text", "sample.a", "sample.b")
+    rows = judge.boundary(judge.self_contained(rows, "text", "own"), "a", "b", "edge")
+    return rows.withColumn("own", F.when(F.col("text").isNotNull(), F.col("own"))).withColumn("edge", F.when(F.col("a").isNotNull(), F.col("edge")))
+
+
+def measured(rows: DataFrame, *key: str) -> DataFrame:
+    """One row of metrics for each key of judged(): means of scores, ratios of sums, and the spread of all chunks."""
+    sums = rows.groupBy(*key).agg(*[F.sum(c).alias(c) for c in SUMS], F.avg("own").alias("own"), F.avg("edge").alias("edge"))
+    mean = F.try_divide(F.col("t"), F.col("n"))
+    return sums.select(
+        *key,
+        F.col("n").alias("chunk_count"),
+        zero(mean).alias("avg_tokens"),
+        zero(F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("tt"), F.col("n")) - mean * mean))).alias("std_dev_tokens"),
+        zero(F.try_divide(F.col("useful"), F.col("words"))).alias("token_efficiency"),
+        T.tokens_to_usd(F.col("indexed"), F.lit(0)).alias("estimated_index_cost"),
+        zero(F.col("own")).alias("avg_self_containedness"),
+        zero(F.col("edge")).alias("avg_boundary_coherence"),
+    )
+
+
 def chunk_stats(runs: DataFrame) -> DataFrame:
     """Counts, tokens, efficiency and index cost of each run, by folds within its row."""
     total = lambda f: F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + f(c))
@@ -69,11 +117,8 @@ def evaluate(runs: DataFrame, judge: Judge | None = None, self_sample: int = SEL
 
     precision: (doc_id, strategy_id, retrieval_precision), if known.
     """
-    judge = judge or HeuristicJudge()
     key = ["doc_id", "strategy_id"]
-    own = judge.self_contained(sampled(runs, self_sample), "text", "score").groupBy(*key).agg(F.avg("score").alias("avg_self_containedness"))
-    edges = judge.boundary(sampled_pairs(runs, boundary_sample), "a", "b", "score").groupBy(*key).agg(F.avg("score").alias("avg_boundary_coherence"))
-    out = chunk_stats(runs).join(own, key, "left").join(edges, key, "left").fillna(0.0, ["avg_self_containedness", "avg_boundary_coherence"])
+    out = measured(judged(runs, judge or HeuristicJudge(), self_sample, boundary_sample), *key).withColumn("chunk_count", F.col("chunk_count").cast("int"))
     out = out.join(precision, key, "left") if precision is not None else out.withColumn("retrieval_precision", F.lit(None).cast("double"))
     if "error" in runs.columns:
         failed = runs.where("error is not null").select(*key, F.lit(True).alias("_failed"))
@@ -86,31 +131,7 @@ def evaluate(runs: DataFrame, judge: Judge | None = None, self_sample: int = SEL
 
 def by_strategy(runs: DataFrame, judge: Judge | None = None, self_sample: int = SELF_SAMPLE, boundary_sample: int = BOUNDARY_SAMPLE) -> DataFrame:
     """One row of metrics for each strategy over all its documents: means of scores, ratios of sums, and the spread of all chunks."""
-    judge = judge or HeuristicJudge()
-    own = judge.self_contained(sampled(runs, self_sample), "text", "score").groupBy("strategy_id").agg(F.avg("score").alias("avg_self_containedness"))
-    edges = judge.boundary(sampled_pairs(runs, boundary_sample), "a", "b", "score").groupBy("strategy_id").agg(F.avg("score").alias("avg_boundary_coherence"))
-    total = lambda f: F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + f(c))
-    sums = runs.select(
-        "strategy_id",
-        F.size("chunks").cast("long").alias("n"),
-        total(lambda c: c["tokens"]).alias("t"),
-        total(lambda c: c["tokens"].cast("long") * c["tokens"]).alias("tt"),
-        total(lambda c: T.useful_words(c["text"])).alias("useful"),
-        total(lambda c: T.total_words(c["text"])).alias("words"),
-        total(lambda c: T.estimate_tokens(F.coalesce(c["embedding_input"], c["text"]))).alias("indexed"),
-    )
-    sums = sums.groupBy("strategy_id").agg(*[F.sum(c).alias(c) for c in ("n", "t", "tt", "useful", "words", "indexed")])
-    mean = F.try_divide(F.col("t"), F.col("n"))
-    out = sums.select(
-        "strategy_id",
-        F.col("n").alias("chunk_count"),
-        zero(mean).alias("avg_tokens"),
-        zero(F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("tt"), F.col("n")) - mean * mean))).alias("std_dev_tokens"),
-        zero(F.try_divide(F.col("useful"), F.col("words"))).alias("token_efficiency"),
-        T.tokens_to_usd(F.col("indexed"), F.lit(0)).alias("estimated_index_cost"),
-    )
-    out = out.join(F.broadcast(own), "strategy_id", "left").join(F.broadcast(edges), "strategy_id", "left")  # a row for each strategy
-    out = out.fillna(0.0, ["avg_self_containedness", "avg_boundary_coherence"])
+    out = measured(judged(runs, judge or HeuristicJudge(), self_sample, boundary_sample), "strategy_id")
     return out.withColumn("composite", composite(out))
 
 

@@ -16,6 +16,12 @@ def as_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast(STRUCTURE).alias("structure"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, if its files give fewer tasks: chunking is row-local and heavy, and one small file is one task. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def select_span(df: DataFrame, start: Column | int, end: Column | int, rebase: bool = False) -> DataFrame:
     """The characters from start to before end as `text`; an empty selection leaves the row unchanged.
 
@@ -56,3 +62,8 @@ def profile(df: DataFrame) -> DataFrame:
     """Characters, estimated tokens, pages (null if unknown) and headings of each document."""
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
     return df.select("doc_id", F.length("text").alias("chars"), T.estimate_tokens(F.col("text")).alias("tokens"), size("structure.pages").alias("pages"), F.coalesce(size("structure.headings"), F.lit(0)).alias("headings"))
+
+
+def badges(chunks: DataFrame) -> DataFrame:
+    """What a list of chunks shows of each: its number, tokens, parent and how many children it has. chunks: rows of chunk_rows."""
+    return chunks.select("doc_id", "index", "tokens", "parent_index", F.coalesce(F.size("children"), F.lit(0)).alias("child_count"))

@@ -61,18 +61,22 @@ class FunctionEmbedder:
         return df.withColumn(out, F.pandas_udf(run, "array<float>").asNondeterministic()(F.col(text)))
 
 
-def rank_by_embedding(queries: DataFrame, items: DataFrame, k: int = TOP_K, within: tuple[str, ...] = ("doc_id", "strategy_id"), order: str = "chunk_index", query_rows: int | None = None) -> DataFrame:
+def rank_by_embedding(queries: DataFrame, items: DataFrame, k: int = TOP_K, within: tuple[str, ...] = ("doc_id", "strategy_id"), order: str = "chunk_index") -> DataFrame:
     """(query_id, within, order, score, rank): the k items of each group that are nearest to each query; ties by `order`.
 
-    queries: (query_id, query_embedding), of a checked number: they are broadcast if they are few, and otherwise dealt
-    out against blocks of items. Only `k` rows of a query and group leave a task, by a rank limit before the shuffle.
+    queries: (query_id, query_embedding): they are broadcast if their numbers are few, and otherwise meet the items in blocks. Only `k` rows of a query
+    and group leave a task, by a rank limit before the shuffle.
     """
-    queries = queries.select("query_id", "query_embedding")
-    count = queries.count() if query_rows is None else query_rows
-    width = queries.select(F.size("query_embedding").alias("n")).limit(1).collect()
-    few = count * (width[0]["n"] if width else 0) <= BROADCAST_NUMBERS
-    scored = items.join(F.broadcast(queries) if few else queries.repartition(max(1, count // 1000)), how="cross")
-    scored = scored.select("query_id", *within, order, T.cosine(F.col("query_embedding"), F.col("embedding")).alias("score"))
+    queries = queries.select("query_id", "query_embedding", T.norm(F.col("query_embedding")).alias("_nq"))
+    size = queries.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("query_embedding")), F.lit(0)).alias("numbers")).first()
+    dealt = max(1, -(-size["numbers"] // BROADCAST_NUMBERS))
+    items = items.select(*within, order, "embedding", T.norm(F.col("embedding")).alias("_ni"))
+    if dealt == 1:
+        scored = items.join(F.broadcast(queries), how="cross")
+    else:  # blocks of queries, each of a bounded size, against the items once each
+        block = F.pmod(F.xxhash64("query_id"), F.lit(dealt))
+        scored = items.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dealt - 1).cast("long")))).join(queries.withColumn("_b", block), "_b")
+    scored = scored.select("query_id", *within, order, T.cosine(F.col("query_embedding"), F.col("embedding"), F.col("_nq"), F.col("_ni")).alias("score"))
     w = Window.partitionBy("query_id", *within).orderBy(F.col("score").desc(), order)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

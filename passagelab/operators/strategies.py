@@ -102,13 +102,13 @@ class RecursiveSemantic(Strategy):
     true_recursive: bool = False
 
     def _run(self, df, judge):
-        df = df.withColumn("_items", K.recursive_split(F.col("text"), self.target_size, self.true_recursive))
+        none = F.array().cast("array<string>")
+        df = df.withColumn("_items", F.coalesce(K.recursive_split(F.col("text"), self.target_size, self.true_recursive), none))  # a null text has no pieces
         df = judge.pair_scores(df.withColumn("_pairs", K.pairs_of(F.col("_items"))), "_pairs", "_scores")
         several = F.size("_items") > 1
         df = df.withColumn("_merged", F.when(several, K.merge_pairs(F.col("_items"), F.col("_scores"), self.merge)).otherwise(F.col("_items")))
         df = judge.self_scores(df, "_merged", "_self")
         weak = lambda scores: F.transform(scores, lambda x: F.coalesce(x < self.coherence, F.lit(False)))
-        none = F.array().cast("array<string>")
         df = df.withColumn("_loose", weak(F.col("_self")))
         df = df.withColumn("_parts", F.zip_with("_merged", "_loose", lambda t, loose: F.when(F.coalesce(loose, F.lit(False)), T.sentences(t, 10)).otherwise(none)))
         df = judge.weakest(df, "_parts", "_weakest")
@@ -162,8 +162,10 @@ class StructureAware(Strategy):
     def _run(self, df, judge):
         kept = F.filter("structure.headings", lambda h: h["level"] <= self.levels)
         has = F.coalesce(F.size(kept) > 0, F.lit(False))
-        plain = RecursiveSemantic(target_size=self.max_tokens * T.CHARS_PER_TOKEN).apply(df.where(~has), judge)
-        own = df.where(has).withColumn("_items", K.merge_small(K.sections(F.col("text"), F.col("structure.headings"), self.levels), self.min_tokens))
+        # one pass over the rows: those with headings have no text for the recursive strategy, and the others no sections
+        df = df.withColumn("_whole", F.col("text")).withColumn("_has", has).withColumn("text", F.when(~F.col("_has"), F.col("text")))
+        plain = RecursiveSemantic(target_size=self.max_tokens * T.CHARS_PER_TOKEN).apply(df, judge)
+        own = plain.withColumn("text", F.col("_whole")).withColumn("_items", F.when(F.col("_has"), K.merge_small(K.sections(F.col("text"), F.col("structure.headings"), self.levels), self.min_tokens)))
         large = lambda t: T.estimate_tokens(t) > self.max_tokens
         own = judge.split_sections(own.withColumn("_large", F.filter("_items", large)), "_large", "_split", self.max_tokens)
 
@@ -173,8 +175,10 @@ class StructureAware(Strategy):
             return F.flatten(F.transform(v["items"], lambda t, i: F.when(large(t), F.coalesce(F.get(v["split"], before(i)), F.array(t))).otherwise(F.array(t))))
 
         final = T.let(F.struct(F.col("_items").alias("items"), F.col("_split").alias("split")), resolved)
-        own = own.withColumn("chunks", plain_chunks(K.place(F.col("text"), final))).withColumn("api_calls", F.size("_large"))
-        return self._named(own.drop("_items", "_large", "_split")).unionByName(plain)
+        mine = {"chunks": plain_chunks(K.place(F.col("text"), final)), "api_calls": F.size("_large"), "tokens_in": F.lit(0), "tokens_out": F.lit(0), "strategy_id": F.lit(self.id)}
+        for column, value in mine.items():
+            own = own.withColumn(column, F.when(F.col("_has"), value).otherwise(F.col(column)))
+        return own.drop("_items", "_large", "_split", "_whole", "_has")
 
 
 @dataclass(frozen=True)

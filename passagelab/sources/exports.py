@@ -61,6 +61,11 @@ def json_object(chunk_results: DataFrame, eval_results: DataFrame, query_results
     return one.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"))
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """One JSON object for each row; fields that are null are left out."""
+    return rows.select(F.to_json(F.struct("*")).alias("value"))
+
+
 def write_json(path: str, **tables: DataFrame) -> None:
     """Each table as JSON lines in a folder of its name."""
     for name, df in tables.items():
