@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passagelab.functions import kernels as K
 from passagelab.functions import text as T
-from passagelab.functions.judges import HeuristicJudge
+from passagelab.functions.judges import HeuristicJudge, TextJudge
 from passagelab.operators import evaluate as E
 from passagelab.operators import passages as P
 from passagelab.operators import retrieve as R
@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.as_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return P.as_documents(P.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = P.spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
     return html.with_structure(found.select(F.col("page_id").alias("doc_id"), "html")).drop("html")
 
 
@@ -91,7 +91,7 @@ bounds AS (SELECT *, CASE WHEN len(d) = 0 THEN 0.0 ELSE o[floor(spot)::BIGINT +
 folded AS (SELECT doc_id, text, s, list_reduce(range(1, len(s) + 1), lambda a, i: CASE WHEN i <= len(d) AND d[i] >= threshold AND a.n + 1 >= 2
     THEN {{'d': list_append(a.d, CASE WHEN a.n = 0 THEN s[i] ELSE a.c || ' ' || s[i] END), 'c': '', 'n': 0::BIGINT}}
     ELSE {{'d': a.d, 'c': CASE WHEN a.n = 0 THEN s[i] ELSE a.c || ' ' || s[i] END, 'n': a.n + 1}} END, {{'d': []::VARCHAR[], 'c': '', 'n': 0::BIGINT}}) AS f FROM bounds),
-groups AS (SELECT doc_id, CASE WHEN len(s) <= 1 THEN [text] WHEN f.n = 0 THEN f.d WHEN len(f.d) > 0 AND f.n < 2 THEN list_append(f.d[1:len(f.d) - 1], f.d[len(f.d)] || ' ' || f.c) ELSE list_append(f.d, f.c) END AS g FROM folded),
+groups AS (SELECT doc_id, text, len(s) AS ns, CASE WHEN len(s) <= 1 THEN [text] WHEN f.n = 0 THEN f.d WHEN len(f.d) > 0 AND f.n < 2 THEN list_append(f.d[1:len(f.d) - 1], f.d[len(f.d)] || ' ' || f.c) ELSE list_append(f.d, f.c) END AS g FROM folded),
 kamradt AS (SELECT doc_id, unnest(range(len(g))) AS index, unnest(g) AS text FROM groups)"""
 
 PARENTS = lambda source: f"""parents AS (SELECT doc_id, text, unnest(range(len(ps))) AS p, unnest(ps) AS ptext FROM (SELECT doc_id, text, {PIECES('text', 2048)} AS ps FROM ({source}))),
@@ -220,6 +220,33 @@ def recursive_semantic(spark, sf_dir):
     return _chunk_digest(chunk_rows(RecursiveSemantic().apply(paragraphs(spark, sf_dir), JUDGE), "doc_id"))
 
 
+class CuttingJudge(HeuristicJudge):
+    """Finds texts of more than 400 characters loose, and their shortest sentence the weakest."""
+
+    def self_scores(self, df, items, out):
+        return df.withColumn(out, F.transform(items, lambda t: F.when(F.length(t) > 400, 0.5).otherwise(1.0)))
+
+    def weakest(self, df, parts, out):
+        shortest = lambda n: (F.array_position(n, F.array_min(n)) - 1).cast("int")
+        return df.withColumn(out, F.transform(parts, lambda p: T.let(F.transform(p, F.length), shortest)))
+
+
+_LOOSE = rf"list_filter({SPLIT('x')}, lambda s: length({TRIM('s')}) > 10)"
+
+
+@query(f"""WITH pieces AS (SELECT doc_id, text, {PIECES('text', 600)} AS s FROM ({PARAGRAPHS})),
+scored AS (SELECT *, list_transform(range(1, greatest(len(s), 1)::BIGINT), lambda i: {JACCARD('s[i]', 's[i + 1]')} >= 0.92) AS j FROM pieces),
+folded AS (SELECT doc_id, text, CASE WHEN len(s) > 1 THEN list_reduce(range(1, len(s) + 1), lambda a, i: CASE WHEN a.k THEN {{'d': a.d, 'k': false}} WHEN i <= len(j) AND j[i] THEN {{'d': list_append(a.d, s[i] || ' ' || s[i + 1]), 'k': true}} ELSE {{'d': list_append(a.d, s[i]), 'k': false}} END, {{'d': []::VARCHAR[], 'k': false}}).d ELSE s END AS m FROM scored),
+merged AS (SELECT doc_id, text, unnest(range(len(m))) AS k, unnest(m) AS x FROM folded), parted AS (SELECT *, {_LOOSE} AS p FROM merged),
+weighed AS (SELECT *, greatest(1, least(list_position(list_transform(p, lambda s: length(s)), list_min(list_transform(p, lambda s: length(s)))) - 1, len(p) - 1)) AS w FROM parted),
+cut AS (SELECT doc_id, text, k, CASE WHEN length(x) > 400 AND len(p) > 2 THEN [array_to_string(p[1:w], ' '), array_to_string(p[w + 1:len(p)], ' ')] ELSE [x] END AS h FROM weighed),
+flat AS (SELECT doc_id, text, k, unnest(range(len(h))) AS i, unnest(h) AS t FROM cut), numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS index, CASE WHEN t = '' THEN 0 ELSE instr(text, t) - 1 END AS spot FROM flat)
+SELECT doc_id, index, greatest(spot, 0) AS start, greatest(spot, 0) + length(t) AS "end", {TOKENS('t')} AS tokens, spot >= 0 AS located, md5(t) AS text_md5 FROM numbered""")
+def weakest_sentence_cuts(spark, sf_dir):
+    """Recursive pieces of which loose ones are cut at their weakest sentence."""
+    return _chunk_digest(chunk_rows(RecursiveSemantic().apply(paragraphs(spark, sf_dir), CuttingJudge()), "doc_id"))
+
+
 _PARENT_SQL = "WITH {} SELECT doc_id, index::BIGINT AS index, parent_index::BIGINT AS parent_index, start::BIGINT AS start, (start + length(text))::BIGINT AS \"end\", {} AS tokens, children::BIGINT AS children, located, md5(text) AS text_md5 FROM chunks"
 
 
@@ -243,9 +270,15 @@ def kamradt_chunks(spark, sf_dir):
     return rows.select("doc_id", long("index").alias("index"), long("tokens").alias("tokens"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query()
+_SPOT = "instr(substr(a.t, a.c + 1), x)"
+
+
+@query(f"""WITH {KAMRADT},
+walked AS (SELECT doc_id, g, ns, list_reduce(g, lambda a, x: {{'c': a.c + greatest({_SPOT} - 1, 0) + length(x), 'd': list_append(a.d, {{'s': a.c + greatest({_SPOT} - 1, 0), 'l': {_SPOT} > 0}}), 't': a.t}}, {{'c': 0::BIGINT, 'd': []::STRUCT(s BIGINT, l BOOLEAN)[], 't': text}}).d AS d FROM groups),
+flat AS (SELECT doc_id, ns, unnest(range(len(g))) AS index, unnest(g) AS t, unnest(d) AS p FROM walked)
+SELECT doc_id, index, CASE WHEN ns <= 1 THEN 0 ELSE p.s END AS start, CASE WHEN ns <= 1 THEN 0 ELSE p.s END + length(t) AS "end", {TOKENS('t')} AS tokens, ns <= 1 OR p.l AS located, md5(t) AS text_md5 FROM flat""")
 def kamradt_located(spark, sf_dir):
-    """Places by a moving cursor: rows only; the tests hold it against a loop."""
+    """Places by a moving cursor."""
     return _chunk_digest(chunk_rows(KamradtSemantic().apply(documents(spark, sf_dir), JUDGE), "doc_id"))
 
 
@@ -301,6 +334,30 @@ def structure_aware(spark, sf_dir):
     return rows.select(F.col("doc_id").alias("page_id"), long("index").alias("index"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def _outlined(spark, sf_dir) -> DataFrame:
+    """Documents of which every line is a heading."""
+    docs = documents(spark, sf_dir)
+    starts = lambda v: F.transform(v, lambda t, i: F.struct(F.lit(1).alias("level"), t.alias("text"), F.aggregate(F.slice(v, 1, i), F.lit(0), lambda n, x: n + F.length(x) + 1).alias("start"), F.lit(0).alias("end")))
+    made = F.struct(T.let(F.split("text", "\n"), starts).alias("headings"), F.lit(None).alias("pages"))
+    return docs.withColumn("structure", made.cast(docs.schema["structure"].dataType))
+
+
+@query(f"""WITH items AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: {TRIM('s')}), lambda s: s <> '') AS s FROM ({DOCS})),
+folded AS (SELECT doc_id, list_reduce(s, lambda a, x: CASE WHEN {TOKENS('x')} < 100 THEN {{'d': a.d, 'c': CASE WHEN a.c = '' THEN x ELSE a.c || ' ' || x END}} ELSE {{'d': list_append(CASE WHEN a.c = '' THEN a.d ELSE list_append(a.d, a.c) END, x), 'c': ''}} END, {{'d': []::VARCHAR[], 'c': ''}}) AS f FROM items),
+merged AS (SELECT doc_id, CASE WHEN f.c = '' THEN f.d ELSE list_append(f.d, f.c) END AS m FROM folded), flat AS (SELECT doc_id, unnest(range(len(m))) AS k, unnest(m) AS x FROM merged),
+cut AS (SELECT doc_id, k, unnest(range(len(ps))) AS i, unnest(ps) AS t FROM (SELECT doc_id, k, CASE WHEN {TOKENS('x')} > 512 THEN {PIECES('x', 2048)} ELSE [x] END AS ps FROM flat))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS index, {TOKENS('t')} AS tokens, md5(t) AS text_md5 FROM cut""")
+def small_sections_merged(spark, sf_dir):
+    rows = chunk_rows(StructureAware().apply(_outlined(spark, sf_dir), JUDGE), "doc_id")
+    return rows.select("doc_id", long("index").alias("index"), long("tokens").alias("tokens"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"WITH {PARENTS(DOCS)} SELECT doc_id, index::BIGINT AS index, {TOKENS('text')} AS tokens, parent_index::BIGINT AS parent_index, coalesce(children, 0)::BIGINT AS child_count FROM chunks")
+def chunk_badges(spark, sf_dir):
+    found = P.badges(chunk_rows(ParentChild().apply(documents(spark, sf_dir), JUDGE), "doc_id"))
+    return found.select("doc_id", *[long(c).alias(c) for c in ("index", "tokens", "parent_index", "child_count")])
+
+
 # ---- page layout: each line of a document is an item, forty make a page, and lengths make heights -----
 
 _ITEMS_SQL = f"items AS (SELECT doc_id, (k // 40 + 1)::BIGINT AS page, k AS seq, str, CASE WHEN length(str) % 7 = 0 THEN 0.0 WHEN length(str) < 30 THEN 22.0 WHEN length(str) < 60 THEN 15.0 ELSE 11.0 END AS height FROM (SELECT doc_id, unnest(range(len(ls))) AS k, unnest(ls) AS str FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM ({DOCS}))))"
@@ -446,9 +503,36 @@ def judged_topk(spark, sf_dir):
     return R.judged_only(top, _judgments(spark, sf_dir, top)).select("query_id", "chunk_index", long("rank").alias("rank"))
 
 
-@query("SELECT unnest(['structure_aware', 'sliding_window_summary', 'kamradt_semantic', 'parent_child', 'agentic']) AS strategy_id")
+class FixedRanking(TextJudge):
+    """Answers every prompt with the third, the first and a missing passage."""
+
+    def complete(self, df, prompt, out, most_tokens):
+        said = F.lit('Here: [{"index": 2, "score": 0.9}, {"index": 0, "score": 0.5}, {"index": 1000000, "score": 0.4}]')
+        return df.withColumn(out, F.struct(said.alias("text"), F.lit(0).alias("input_tokens"), F.lit(0).alias("output_tokens"), F.lit(None).cast("string").alias("error")))
+
+
+@query(f"""WITH {SLIDING}, q AS (SELECT item_id AS query_id FROM benchmark WHERE item_id % 50 = 0), r AS (SELECT unnest([2, 0]) AS chunk_index, unnest([0.9, 0.5]) AS score, unnest([1, 2]) AS rank)
+SELECT query_id, s.doc_id, r.chunk_index::BIGINT AS chunk_index, r.score::DOUBLE AS score, r.rank::BIGINT AS rank FROM q, sliding s JOIN r ON s.index = r.chunk_index""")
+def judged_ranking(spark, sf_dir):
+    """Passages of every document ranked for benchmark items by a judge; what the judge makes up is dropped, and its places stay empty."""
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    chunks = chunk_rows(SlidingSummary().apply(documents(spark, sf_dir), JUDGE), "doc_id", "strategy_id")
+    found = R.run_query(asked, chunks, judge=FixedRanking())
+    return found.select("query_id", "doc_id", long("chunk_index").alias("chunk_index"), "score", long("rank").alias("rank"))
+
+
+@query("SELECT conv_id AS query_id, turn % 3 AS chunk_index, turn AS ts, length(coalesce(text, '')) % 2 = 0 AS relevant FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn DESC, relevant DESC) = 1")
+def latest_judgments(spark, sf_dir):
+    """Turns as judgments of three passages, of which the last counts."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    judged = turns.select(F.col("conv_id").alias("query_id"), F.lit("s").alias("strategy_id"), (F.col("turn") % 3).alias("chunk_index"), F.col("turn").alias("ts"), (F.length(F.coalesce("text", F.lit(""))) % 2 == 0).alias("relevant"))
+    return R.latest_judgments(judged).select("query_id", "chunk_index", "ts", "relevant")
+
+
+@query("SELECT unnest(['structure_aware', 'recursive_semantic', 'late', 'agentic', 'sliding_window_summary', 'kamradt_semantic', 'parent_child']) AS strategy_id EXCEPT SELECT unnest(['sliding_window_summary', 'kamradt_semantic', 'parent_child']) FROM documents")
 def unused_strategies(spark, sf_dir):
-    return unused(spark, spark.createDataFrame([("recursive_semantic",), ("late",)], "strategy_id string")).select("strategy_id")
+    """Strategies that no run of the documents has used."""
+    return unused(spark, _runs(spark, sf_dir).select("strategy_id")).select("strategy_id")
 
 
 # ---- costs and exports ---------------------------------------------------------------------------------
@@ -469,18 +553,34 @@ def llm_cost(spark, sf_dir):
     return E.call_costs(calls, prices).withColumn("usd", F.round("usd", 9))
 
 
-@query(f"""WITH {SLIDING} SELECT doc_id, index AS chunk_index, {TOKENS('text')} AS tokens, to_json(replace(text, chr(10), ' '))::VARCHAR AS text FROM sliding""")
+@query(f"""WITH {SLIDING}, {_N}, {_SAMPLED}, {_EDGES}, s AS (SELECT doc_id, avg({_POINTING_SQL}) AS v FROM sampled GROUP BY doc_id), b AS (SELECT doc_id, avg(score) AS v FROM edges GROUP BY doc_id)
+SELECT doc_id, index AS chunk_index, {TOKENS('text')} AS tokens, printf('%.3f', coalesce(s.v, 0)) AS self_containedness_score, printf('%.3f', coalesce(b.v, 0)) AS boundary_score, to_json(replace(text, chr(10), ' '))::VARCHAR AS text FROM sliding LEFT JOIN s USING (doc_id) LEFT JOIN b USING (doc_id)""")
 def export_csv_rows(spark, sf_dir):
     runs = SlidingSummary().apply(documents(spark, sf_dir), JUDGE).select("doc_id", "strategy_id", "chunks")
     rows = exports.csv_rows(chunk_rows(runs, "doc_id", "strategy_id"), E.evaluate(runs, JUDGE))
-    return rows.select("doc_id", long("chunk_index").alias("chunk_index"), long("tokens").alias("tokens"), "text")
+    return rows.select("doc_id", long("chunk_index").alias("chunk_index"), long("tokens").alias("tokens"), "self_containedness_score", "boundary_score", "text")
+
+
+@query(f"WITH {SLIDING} SELECT to_json({{'doc_id': doc_id, 'strategy_id': 'sliding_window_summary', 'index': index, 'tokens': {TOKENS('text')}, 'text': text}})::VARCHAR AS value FROM sliding")
+def export_json_lines(spark, sf_dir):
+    rows = chunk_rows(SlidingSummary().apply(documents(spark, sf_dir), JUDGE), "doc_id", "strategy_id")
+    return exports.json_lines(rows.select("doc_id", "strategy_id", "index", "tokens", "text"))
+
+
+_CELLS = "concat_ws(' | ', strategy_id, printf('%.2f', sc), printf('%.2f', bc), printf('%.2f', eff), n, printf('%.2f', composite))"
+_FIXED_LINES = [(0, "# Chunking Strategy Report"), (1, ""), (2, "## Metric Comparison"), (3, ""), (4, "| Strategy | Self-Contained | Boundary | Token Eff. | Chunks | Composite |"), (5, "|---|---|---|---|---|---|"), (1_000_000, ""), (1_000_001, "## Top 3 Recommendations"), (1_000_002, ""), (3_000_000, "## Chunk Stats"), (3_000_001, "")]
 
 
-@query()
+@query(f"""WITH {_ALL}, ranked AS (SELECT *, row_number() OVER (ORDER BY composite DESC, strategy_id) AS r, row_number() OVER (ORDER BY strategy_id) AS p FROM every),
+best AS (SELECT r, ['### ' || r || '. ' || replace(strategy_id, '_', ' '), '- Composite score: **' || printf('%.3f', composite) || '**', '- Self-containedness: ' || printf('%.3f', sc), '- Boundary coherence: ' || printf('%.3f', bc), '- Chunk count: ' || n || ' · Avg tokens: ' || printf('%.0f', a), ''] AS ls FROM ranked WHERE r <= 3)
+SELECT * FROM (VALUES {', '.join(f"({n}::BIGINT, '{t}')" for n, t in _FIXED_LINES)}) AS fixed(line, value)
+UNION ALL SELECT r + 10, '| ' || {_CELLS} || ' |' FROM ranked
+UNION ALL SELECT 2000000 + r * 10 + k, ls[k + 1] FROM (SELECT r, ls, unnest(range(6)) AS k FROM best)
+UNION ALL SELECT 4000000 + p, '- **' || strategy_id || '**: ' || n || ' chunks, 0ms, ~$0.0000' FROM ranked""")
 def export_markdown_lines(spark, sf_dir):
-    runs = _runs(spark, sf_dir)
-    totals = runs.groupBy(F.col("strategy_id").alias("label")).agg(F.sum(F.size("chunks")).alias("chunk_count"), F.lit(0).alias("duration_ms"), F.lit(0.0).alias("estimated_cost"))
-    return exports.markdown_lines(E.by_strategy(runs, JUDGE), totals)
+    metrics = E.by_strategy(_runs(spark, sf_dir), JUDGE)
+    totals = metrics.select(F.col("strategy_id").alias("label"), "chunk_count", F.lit(0).alias("duration_ms"), F.lit(0.0).alias("estimated_cost"))
+    return exports.markdown_lines(metrics, totals)
 
 
 @query(f"WITH {SLIDING} SELECT lang, count(DISTINCT doc_id) AS documents, count(*) AS chunks, round(avg({TOKENS('s.text')}), 6) AS avg_tokens, round(sum({USEFUL('s.text')})::DOUBLE / sum(len({WORDS('s.text')})), 6) AS token_efficiency, round(sum({TOKENS('s.text')}) / 1000000.0 * 3, 6) AS index_usd FROM sliding s JOIN documents d USING (doc_id) GROUP BY lang")
