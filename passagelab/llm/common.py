@@ -18,6 +18,8 @@ from passagelab.shipping import ship
 
 #: Rows below which a side of two or three longs may be broadcast (about 16 MB).
 BROADCAST_ROWS = 200_000
+#: Bytes below which a side with rows of any length may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,16 +54,41 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Spark 4.1 removes the shuffle files of an execution at its end where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written here leaves no shuffle files behind; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before or "false")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, which survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.written_to = path
     return again
 
 
+def free_name(df: DataFrame, label: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{label}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes tables made by written() that nothing reads any more."""
     for df in frames:
@@ -74,6 +101,11 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def light(df: DataFrame, size: int) -> DataFrame:
+    """df with a broadcast hint if its measured size in bytes is within BROADCAST_BYTES, else unchanged (a shuffle join)."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 ROWS_KEY, ROWS_DEFAULT, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 

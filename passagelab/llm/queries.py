@@ -15,7 +15,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines."""
     from passagelab.llm.line_dedup import dedup
 
-    return dedup(table(spark, sf_dir, "documents"), most_bits=None, least_chars=0).select("doc_id", "text", "n_lines", "n_dropped")
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagelab.llm.decontamination import report
 
-    found = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("n_near")
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
