@@ -1,19 +1,20 @@
 """Hierarchical multi-length packing of token ids into training windows.
 
-Each task packs the documents of its own partition, so nothing is shuffled and memory is bounded
-by the open windows. A document gives whole windows of the longest tier first; its rest is routed
-to the shortest tier (2048, 1024, ... 128) that holds it and waits there. A waiting rest of a long
-tier opens a window, whose gap is filled by the waiting rests that fit best, from longer tiers
-to shorter ones, and at last by a cut piece of one. What is left of a partition when its documents
-end is cut at powers of two, from long to short, so that only a part of the shortest tier is padded.
-
-Sequences of one tier are dealt to step groups of `step_tokens` tokens each.
+A document is routed to the context size that holds it: of the tiers 2048, 1024, 512 and 256 the shortest that is long enough; of
+a longer one whole windows of 2048 go first, and its rest is routed. Every tier packs windows of its own length: the tier's longest waiting piece opens one,
+and its gap is filled by the waiting pieces that fit best, of its own tier and of shorter ones, and at last by a cut piece. A tier
+gives windows whenever more than `most_waiting` of its pieces wait, so long windows find short pieces for their gaps, and short tiers still pack windows of their own.
+
+Each task packs the documents of its own partition, so nothing is shuffled and memory is bounded by the waiting pieces. What is left
+of a partition when its documents end is cut at the tiers' lengths, from long to short, so that less than the shortest is padded.
+
+Sequences of one tier are dealt to step groups of `step_tokens` tokens each, so steps of all tiers are equal work.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from passagelab.llm.common import map_batches, slices
 from passagelab.llm.tokens import default_path, encoder
 
-WINDOW, SHORTEST, END_ID = 2048, 128, 1
+WINDOW, SHORTEST, END_ID = 2048, 256, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, padded_length int, step_group long"
 Piece = tuple  # (doc_id, start, ids, doc_tokens)
 
@@ -40,51 +41,51 @@ def tiers(window: int = WINDOW, shortest: int = SHORTEST) -> list[int]:
 class Packer:
     """Packs pieces into sequences; each of these is a list of pieces.
 
-    A tier holds more than `most_waiting` waiting pieces only while all together are less than a window.
+    waiting: of each tier (length, minus its turn, piece) in ascending order. A tier holds more than `most_waiting` pieces only while
+    they and those of shorter tiers are together less than its window.
     """
 
     def __init__(self, window: int = WINDOW, shortest: int = SHORTEST, most_waiting: int = 256):
         self.window, self.sizes, self.most = window, tiers(window, shortest), most_waiting
-        self.waiting: dict[int, deque] = {size: deque() for size in self.sizes}
-        self.tokens = 0
+        self.waiting: dict[int, list[tuple[int, int, Piece]]] = {size: [] for size in self.sizes}
+        self.tokens = dict.fromkeys(self.sizes, 0)
+        self.turn = 0
 
     def add(self, doc_id, ids: np.ndarray) -> Iterator[list[Piece]]:
         n, at = len(ids), 0
-        while n - at >= self.window:
+        while n - at > self.window:
             yield [(doc_id, at, ids[at : at + self.window], n)]
             at += self.window
-        if at < n:
-            self._wait((doc_id, at, ids[at:], n))
-        while self.tokens >= self.window and any(len(q) > self.most for q in self.waiting.values()):
-            yield self._fill()
+        self._wait((doc_id, at, ids[at:], n))
+        for size in self.sizes:
+            while len(self.waiting[size]) > self.most and self._enough(size):
+                yield self._fill(size)
+
+    def _enough(self, size: int) -> bool:
+        return sum(n for s, n in self.tokens.items() if s <= size) >= size
 
     def _wait(self, piece: Piece) -> None:
         size = next(s for s in reversed(self.sizes) if len(piece[2]) <= s)
-        self.waiting[size].append(piece)
-        self.tokens += len(piece[2])
+        self.turn += 1
+        insort(self.waiting[size], (len(piece[2]), -self.turn, piece))
+        self.tokens[size] += len(piece[2])
 
     def _take(self, size: int, k: int) -> Piece:
-        queue = self.waiting[size]
-        queue.rotate(-k)
-        piece = queue.popleft()
-        queue.rotate(k)
-        self.tokens -= len(piece[2])
+        n, _, piece = self.waiting[size].pop(k)
+        self.tokens[size] -= n
         return piece
 
-    def _fill(self) -> list[Piece]:
-        """A full window: the longest waiting tier opens it, best fits fill it, a cut piece closes it."""
-        gap, out = self.window, []
+    def _fill(self, window: int) -> list[Piece]:
+        """A full window of a tier: its longest waiting piece opens it, best fits of its and of shorter tiers fill it, a cut piece closes it."""
+        own, gap, out = [s for s in self.sizes if s <= window], window, []
         while gap:
-            best = None
-            for size in self.sizes:
-                found = max(((len(p[2]), -k) for k, p in enumerate(self.waiting[size]) if len(p[2]) <= gap), default=None)
-                if found:
-                    best = (size, -found[1])
-                    break  # tiers go from long to short
-            if best:
-                piece = self._take(*best)
+            for size in own:  # from long to short
+                k = bisect_right(self.waiting[size], (gap, 1))
+                if k:
+                    piece = self._take(size, k - 1)
+                    break
             else:
-                size = next(s for s in reversed(self.sizes) if self.waiting[s])
+                size = next(s for s in reversed(own) if self.waiting[s])
                 whole = self._take(size, 0)
                 piece = (whole[0], whole[1], whole[2][:gap], whole[3])
                 self._wait((whole[0], whole[1] + gap, whole[2][gap:], whole[3]))
@@ -93,11 +94,12 @@ class Packer:
         return out
 
     def finish(self) -> Iterator[list[Piece]]:
-        while self.tokens >= self.window:
-            yield self._fill()
-        left = [p for size in self.sizes for p in self.waiting[size]]
         for size in self.sizes:
-            if sum(len(p[2]) for p in left) >= size:
+            while self.waiting[size] and self._enough(size):
+                yield self._fill(size)
+        left = [p for size in self.sizes for _, _, p in self.waiting[size]]
+        for size in self.sizes:
+            while sum(len(p[2]) for p in left) >= size:
                 taken, left = self._cut(left, size)
                 yield taken
         if left:

@@ -110,6 +110,13 @@ def test_packing(spark, ids_of):
     for r in rows:
         groups[r.step_group].add((r.tier, r.sequence_id))
     assert all(len({t for t, _ in g}) == 1 and sum(t for t, _ in g) <= 16 * 2048 for g in groups.values())
+    full = {t: [g for g in groups.values() if {x for x, _ in g} == {t}] for t in tiers()}
+    for t, own in full.items():  # of each tier all steps but one have equal work
+        assert sum(sum(x for x, _ in g) < 16 * 2048 for g in own) <= 1
+    lengths = defaultdict(int)
+    for r in rows:
+        lengths[r.tier, r.sequence_id] += r.length
+    assert sum(t != n for (t, _), n in lengths.items()) <= 1 and {t for t, _ in lengths} == {2048, 1024, 512, 256}
     check_packing(pack(odd(spark)).collect(), odd(spark).collect(), ids_of)
     assert pack(empty(spark)).count() == 0
 
@@ -118,11 +125,26 @@ def test_tiers_and_gaps():
     assert tiers(16, 4) == [16, 8, 4]
     with pytest.raises(ValueError):
         tiers(12, 4)
-    packer = Packer(16, 4, most_waiting=0)
+    packer = Packer(16, 4, most_waiting=1)
     done = []
     for k, n in enumerate((9, 3, 4, 40, 1, 7)):
         done += packer.add(k, np.arange(n))
     done += packer.finish()
     sizes = [sum(len(p[2]) for p in s) for s in done]
-    assert sum(sizes) == 64 and sizes == [16, 16, 16, 16]
+    assert sum(sizes) == 64 and sizes == [4, 16, 16, 4, 8, 16]
     assert sorted((p[0], p[1] + k) for s in done for p in s for k in range(len(p[2]))) == [(d, k) for d, n in enumerate((9, 3, 4, 40, 1, 7)) for k in range(n)]
+
+
+def test_each_tier_packs_its_own_windows():
+    rng = np.random.default_rng(3)
+    packer, filled = Packer(), []
+    for k in range(6000):
+        filled += packer.add(k, np.arange(int(rng.lognormal(5.5, 1.2)) + 1))
+    sizes = [sum(len(p[2]) for p in s) for s in filled]
+    assert set(sizes) == set(tiers()) and min(sizes.count(t) for t in tiers()) > 100
+    for size, own in zip(sizes, filled):
+        assert len(own[0][2]) > size // 2 or size == 256  # its own tier's piece opens a window, shorter ones fill its gap
+        assert all(len(p[2]) <= len(own[0][2]) or p is own[-1] for p in own)
+    assert any(len(p[2]) <= 256 for size, own in zip(sizes, filled) if size == 2048 for p in own[1:])
+    left = list(packer.finish())
+    assert sum(sum(len(p[2]) for p in s) not in tiers() for s in left) <= 1
