@@ -64,7 +64,7 @@ def test_fixed_texts_outside_an_article_are_the_template(spark):
     assert found[3] == "Own words of page 3 here. Second block 9."
     assert found[100] == "Welcome to our site Own words of page 1 here. Second block 1. All about us"  # all is fixed: all stays
     assert found[200].startswith("Welcome")
-    salted = {r.page_id: r.text for r in extract(pages, most_hosts=0).collect()}
+    salted = {r.page_id: r.text for r in extract(pages, most_bytes=0).collect()}
     assert salted == found
 
 
@@ -85,5 +85,49 @@ def test_odd_rows(spark):
 
 
 def test_tokens_carry_their_path():
-    tokens, blocks = parse("<body><div class=a><p>x</p></div></body>")
-    assert ("/body/div.a/p", "x") in tokens and blocks[0].path == "/body/div.a/p"
+    tokens, blocks = parse("<body><div class=a><p>x</p>yz</div></body>")
+    assert ["/body/div.a/p", "x", 0] in [t[:3] for t in tokens] and blocks[0].path == "/body/div.a/p"
+    assert {t[1]: t[4] for t in tokens if t[2] == 1} == {"<body>": 3, "<div.a>": 3, "<p>": 1}
+
+
+def nameless(page):
+    """The page with nothing in its tags' names that tells the article from the rest."""
+    page = page.replace('<div class="ad">', '<div class="k1">').replace("<nav>", '<div class="k2">').replace("</nav>", "</div>")
+    return page.replace("<article>", '<div class="k3">').replace("</article>", "</div>").replace("<footer>", '<div class="k4">').replace("</footer>", "</div>")
+
+
+def test_the_template_decides_where_names_do_not(spark, monkeypatch):
+    from passagelab.llm import html_template
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts = pages.withColumn("host", html_template.host_of(F.col("url"))).groupBy("host").count().where("count >= 4").select("host")
+    held = pages.withColumn("host", html_template.host_of(F.col("url"))).join(hosts, "host").select("page_id", "url", "html").collect()
+    assert len(held) > 100
+    wanted = {r.page_id: by_hand(r.html) for r in held}
+    renamed = spark.createDataFrame([(r.page_id, r.url, nameless(r.html)) for r in held], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract(renamed).collect()} == wanted
+    whole = templates
+    monkeypatch.setattr(html_template, "templates", lambda pages: whole(pages).limit(0))
+    without = {r.page_id: r.text for r in extract(renamed).collect()}
+    assert all(without[k] != t for k, t in wanted.items())
+
+
+def test_renamed_articles_give_the_same_text(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    wanted = {r.page_id: by_hand(r.html) for r in pages.collect()}
+    renamed = pages.withColumn("html", F.expr("replace(replace(html, '<article>', '<div>'), '</article>', '</div>')"))
+    assert {r.page_id: r.text for r in extract(renamed).collect()} == wanted
+
+
+def test_several_templates_and_texts_in_the_main_slot(spark):
+    body = "<body><form id=f><div class=t1>Top of {k}</div><div class=t2><h1>Title {k}</h1><div class=t3><p>Share this story</p><p>Words {long} of {k}.</p><div class=comments>reader {k}</div></div></div><div class=t4>© us</div></form></body>"
+    other = "<body><div class=x1>Menu</div><div class=x2>List {k} of {long} things</div><div class=x3>Foot</div></body>"
+    rows = [(k, "http://a.example/", body.format(k=k, long=f"own{k} " * 30)) for k in range(6)] + [(10 + k, "http://a.example/", other.format(k=k, long=f"item{k} " * 20)) for k in range(5)]
+    found = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[2] == f"Title 2 Words {('own2 ' * 30).strip()} of 2." and found[12] == f"List 2 of {('item2 ' * 20).strip()} things"
+
+
+def test_unclosed_and_nested_elements():
+    assert main_text('<article>a<span class="ad"><span>x</span>buy</span>b</article>') == "ab"
+    for name in ("select", "svg", "object", "noscript"):
+        assert main_text(f"<article>a<{name}><p>b</p></article>") == "a b"
