@@ -1,14 +1,15 @@
 """Personal data: exact seed entities, and more identifiers by bootstrapped contexts.
 
 Seeds are the contract's four kinds, found by their patterns and checks. A candidate is a token with a digit or an at
-sign that no seed touches; an instance is its shape-keeping text. Its context patterns are the
-words around it: (two words before), (word before, word after), (two words after).
+sign that no seed touches; an instance is its text in lower case. Its context patterns are the
+words around it: (two words before), (word before, word after), (two words after), and, more general, one word before or after together
+with the shape of the token, in which runs of letters and of digits are one sign each.
 
 Spark scores the graph of patterns and instances in rounds. A pattern's confidence in a kind is the
 share of its occurrences that are known instances of the kind, damped by its support; an instance
 joins a kind when the noisy-or of the confident patterns that it meets is high enough. Patterns of
-the last round then mark the candidates that they surround. Only counts leave the tasks; occurrences are
-aggregated before each shuffle, so a common context costs one row for each task.
+the last round then mark the candidates that they surround: few patterns are sent to the tasks, many are joined to the candidates' contexts
+by Spark, with the same result. Occurrences are aggregated before each shuffle, so a common context costs one row for each task.
 """
 
 from __future__ import annotations
@@ -80,17 +81,51 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 TELLING = re.compile(r"[0-9@]")
 EDGE = "\"'()[]{}<>,;:.!?"
-WORDS_NEAR = 200
+#: Characters on either side that are looked at first for two words; more if they do not hold them.
+NEAR = 100
+LETTERS, DIGIT_RUN = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
 
 
 def _words(text: str) -> list[str]:
     return [w for w in (re.sub(r"\W+", "", x) for x in text.lower().split()) if w]
 
 
+def _before(text: str, start: int) -> list[str]:
+    """The last two words before a place, or as many as there are; no word is cut."""
+    size = NEAR
+    while True:
+        begin = max(0, start - size)
+        if begin:
+            while begin < start and not text[begin - 1].isspace():
+                begin += 1
+        found = _words(text[begin:start])
+        if len(found) >= 2 or start - size <= 0:
+            return found[-2:]
+        size *= 4
+
+
+def _after(text: str, end: int) -> list[str]:
+    """The first two words after a place, or as many as there are; no word is cut."""
+    size = NEAR
+    while True:
+        stop = min(len(text), end + size)
+        if stop < len(text):
+            while stop > end and not text[stop].isspace():
+                stop -= 1
+        found = _words(text[end:stop])
+        if len(found) >= 2 or end + size >= len(text):
+            return found[:2]
+        size *= 4
+
+
+def shape(found: str) -> str:
+    return DIGIT_RUN.sub("9", LETTERS.sub("a", found))
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The context patterns of a span: words around it, within WORDS_NEAR characters on either side."""
-    before = _words(text[max(0, start - WORDS_NEAR) : start])[-2:]
-    after = _words(text[end : end + WORDS_NEAR])[:2]
+    """The context patterns of a span, each once."""
+    before, after = _before(text, start), _after(text, end)
+    form = shape(text[start:end])
     out = []
     if len(before) == 2:
         out.append(f"{before[0]} {before[1]} _")
@@ -98,6 +133,10 @@ def contexts(text: str, start: int, end: int) -> list[str]:
         out.append(f"{before[-1]} _ {after[0]}")
     if len(after) == 2:
         out.append(f"_ {after[0]} {after[1]}")
+    if before:
+        out.append(f"{before[-1]} _ {{{form}}}")
+    if after:
+        out.append(f"{{{form}}} _ {after[0]}")
     return out
 
 
@@ -185,7 +224,7 @@ def bootstrap(docs: DataFrame, rounds: int = 3, pattern_confidence: float = 0.6,
     confidence = known / (all + damping), over distinct instances; a pattern needs `support` of them, and
     among its kinds the most confident counts (ties: the kind that sorts first). An instance is admitted at
     1 - product(1 - confidence) >= instance_confidence over the distinct patterns that surround it, and stays
-    admitted. More than `most_patterns` patterns is an error that names the remedy: a higher support.
+    admitted. Up to `most_patterns` patterns are broadcast.
     """
     graph = written(occurrences(docs).groupBy("instance", "pattern", "kind").agg(F.sum("n").alias("n")), "graph")
     known = graph.where("kind is not null").select("instance", "kind").distinct()
@@ -201,7 +240,7 @@ def bootstrap(docs: DataFrame, rounds: int = 3, pattern_confidence: float = 0.6,
             kept.append(scored)
         scored = written(following, "patterns")
         met = edges.join(small(scored, scored.count(), most_patterns), "pattern")
-        belief = met.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("belief"))
+        belief = met.groupBy("instance", "kind").agg(F.round(1 - F.product(1 - F.col("confidence")), 9).alias("belief"))
         admitted = belief.where(F.col("belief") >= instance_confidence).select("instance", "kind").join(known.select("instance").distinct(), "instance", "left_anti")
         known = written(known.union(admitted), "known")
         kept.append(known)
@@ -209,21 +248,23 @@ def bootstrap(docs: DataFrame, rounds: int = 3, pattern_confidence: float = 0.6,
     return scored
 
 
-def spans_of(docs: DataFrame, patterns: list[tuple[str, str, float]], id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """(id, spans) of each row: all seeds, and the candidates whose patterns reach `least` together for one kind.
+def spans_of(docs: DataFrame, patterns: list[tuple[str, str, float]], id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, keep: str | None = None) -> DataFrame:
+    """(id, spans) of each row, and the column `keep` (long): all seeds, and the candidates whose patterns reach `least` together for one kind.
 
     The kind is `found_` and the name of the seeds' kind. Null and empty texts have no spans. Every row gives one row,
     with repeated and null ids too.
     """
     confidence = {p: (k, c) for p, k, c in patterns}
 
+    kept = [keep] if keep else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[{"start": a, "end": b, "kind": k, "base": base} for a, b, k, base in find(x.as_py(), confidence, least)] for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, SPAN_TYPE)], ["id", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in kept), pa.array(rows, SPAN_TYPE)], ["id", *kept, "spans"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(chosen, run, f"id long, spans {SPANS}")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *kept)
+    return map_batches(chosen, run, f"id long, {''.join(f'{c} long, ' for c in kept)}spans {SPANS}")
 
 
 def find(text: str | None, confidence: dict[str, tuple[str, float]], least: float = 0.8) -> list[tuple[int, int, str, bool]]:
@@ -236,25 +277,59 @@ def find(text: str | None, confidence: dict[str, tuple[str, float]], least: floa
             for kind, c in {p: confidence[p] for p in contexts(text, a, b) if p in confidence}.values():
                 doubt[kind] = doubt.get(kind, 1.0) * (1 - c)
             if doubt:
-                kind = min(doubt, key=lambda k: (doubt[k], k))
-                if 1 - doubt[kind] >= least:
+                kind = min(doubt, key=lambda k: (round(doubt[k], 9), k))
+                if round(1 - doubt[kind], 9) >= least:
                     out.append((a, len(KINDS) + KINDS.index(kind), b, f"found_{kind}", False))
     return [(a, b, kind, base) for a, _, b, kind, base in sorted(out)]
 
 
+def joined_spans(docs: DataFrame, scored: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """spans_of() for any number of patterns: Spark joins the candidates' contexts with them, by row (id and hash of the text) and place."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, starts, ends, patterns = [], [], [], []
+            for k, value in enumerate(batch.column("text")):
+                own = value.as_py()
+                if own and TELLING.search(own):
+                    for a, b in candidates(own, _merged([(a, b) for a, _, b in base_spans(own)])):
+                        for p in contexts(own, a, b):
+                            which.append(k)
+                            starts.append(a)
+                            ends.append(b)
+                            patterns.append(p)
+            at = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("text_hash").take(at), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(patterns, pa.string())], ["id", "text_hash", "start", "end", "pattern"])
+
+    met = map_batches(rows, run, "id long, text_hash long, start long, end long, pattern string").distinct().join(scored, "pattern")
+    place = ["id", "text_hash", "start", "end"]
+    doubt = met.groupBy(*place, "kind").agg(F.round(F.product(1 - F.col("confidence")), 9).alias("doubt"))
+    best = doubt.groupBy(*place).agg(F.min(F.struct("doubt", "kind")).alias("best")).where(F.round(1 - F.col("best.doubt"), 9) >= least)
+    found = best.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "end", F.concat(F.lit("found_"), F.col("best.kind")).alias("kind"), F.lit(False).alias("base"))).alias("more"))  # of one text
+    seeds = spans_of(rows, [], "id", "text", least, keep="text_hash")
+    same = seeds["id"].eqNullSafe(found["id"]) & (seeds["text_hash"] == found["text_hash"])
+    both = seeds.join(found, same, "left").select(seeds["id"], F.concat("spans", F.coalesce("more", F.array().cast(SPANS))).alias("spans"))
+    order = " ".join(f"when '{k}' then {n}" for n, k in enumerate([*KINDS, *(f"found_{k}" for k in KINDS)]))
+    ordered = F.expr(f"transform(array_sort(transform(spans, s -> struct(s.start as a, case s.kind {order} end as k, s.end as b, s as span))), x -> x.span)")
+    return both.select("id", ordered.cast(SPANS).alias("spans"))
+
+
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_patterns: int = 20_000, **settings) -> DataFrame:
     """(id, spans) by seeds and bootstrapped patterns.
 
-    The patterns reach the tasks through the driver: there may be `most_patterns` (a higher
-    `support` gives fewer). An empty table gives no rows; extra columns are ignored.
+    Up to `most_patterns` patterns are sent to the tasks, more are joined there; the result is the same. Rows that repeat an id, and null ids, are
+    rows like any other; ties go to the kind that sorts first. An empty table gives no rows; extra columns are ignored.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     scored = bootstrap(texts, most_patterns=most_patterns, **settings)
-    found = scored.limit(most_patterns + 1).collect()
+    least = settings.get("instance_confidence", 0.8)
+    if scored.count() > most_patterns:
+        return joined_spans(docs, scored, id_col, text_col, least)
+    found = scored.collect()
     forget(scored)
-    if len(found) > most_patterns:
-        raise ValueError(f"more than {most_patterns} patterns; raise support")
-    return spans_of(docs, [tuple(r) for r in found], id_col, text_col, settings.get("instance_confidence", 0.8))
+    return spans_of(docs, [tuple(r) for r in found], id_col, text_col, least)
 
 
 def digest(docs: DataFrame) -> DataFrame:

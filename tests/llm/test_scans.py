@@ -105,6 +105,66 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert found[101].spans == ""
 
 
+def bootstrapped(texts, rounds=3, least_pattern=0.6, least_instance=0.8, support=5, damping=1.0):
+    """The rounds by dictionaries: {pattern: (kind, confidence)}."""
+    edges, known = set(), set()
+    for text in texts:
+        seeds = pii.base_spans(text)
+        for a, kind, b in seeds:
+            known.add((pii.normal(text[a:b]), pii.KINDS[kind]))
+            edges |= {(pii.normal(text[a:b]), p) for p in pii.contexts(text, a, b)}
+        for a, b in pii.candidates(text, pii._merged([(a, b) for a, _, b in seeds])):
+            edges |= {(pii.normal(text[a:b]), p) for p in pii.contexts(text, a, b)}
+    for _ in range(rounds):
+        scored = {}
+        for p in {p for _, p in edges}:
+            around = {i for i, q in edges if q == p}
+            shares = sorted((-len({i for i in around if (i, k) in known}), k) for k in pii.KINDS)
+            # an instance without a kind and one with several count for each of them
+            total = sum(max(1, sum((i, k) in known for k in pii.KINDS)) for i in around)
+            fair = -shares[0][0] / (total + damping)
+            if total >= support and fair >= least_pattern:
+                scored[p] = (shares[0][1], round(fair, 9))
+        doubt = {}
+        for i, p in edges:
+            if p in scored:
+                kind, c = scored[p]
+                doubt[i, kind] = doubt.get((i, kind), 1) * (1 - c)
+        already = {i for i, _ in known}
+        known |= {(i, k) for (i, k), d in doubt.items() if round(1 - d, 9) >= least_instance and i not in already}
+    return scored
+
+
+def contextual_rows():
+    rows = []
+    for k in range(30):
+        rows.append((len(rows), f"please write to user{k}@mail{k % 7}.example now or never, the rest is prose {k}"))
+        rows.append((len(rows), f"the server at 10.0.{k}.{k * 3} went down again, call +49 30 {1000000 + 7 * k} for help today"))
+        rows.append((len(rows), f"room number {1000 + k} is on floor {k}, order a-{k}b please"))
+    rows += [(len(rows), "please write to odd-name7_at_home now or never"), (len(rows) + 1, "the server at host7.internal went down again"), (len(rows) + 2, "call 030-55512x for help today, " + "x" * 500 + " call 040-99912y for help today")]
+    rows += [(len(rows), "a number 12345 in other words"), (None, "please write to odd-name7_at_home now or never"), (3, "the server at host9.internal went down again")]
+    return rows
+
+
+def test_bootstrap_matches_brute_force(spark):
+    rows = contextual_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = bootstrapped([t for _, t in rows])
+    assert {r.pattern: (r.kind, r.confidence) for r in pii.bootstrap(frame.select("text")).collect()} == wanted and len(wanted) > 8
+    found = sorted((r.id is None, r.id or 0, [(s.start, s.end, s.kind, s.base) for s in r.spans]) for r in pii.detect(frame).collect())
+    assert found == sorted((i is None, i or 0, pii.find(t, wanted)) for i, t in rows)
+    kinds = {k for *_, spans in found for _, _, k, _ in spans}
+    assert {"found_email", "found_ip", "found_phone"} <= kinds
+    joined = sorted((r.id is None, r.id or 0, [(s.start, s.end, s.kind, s.base) for s in r.spans]) for r in pii.detect(frame, most_patterns=0).collect())
+    assert joined == found
+
+
+def test_contexts_are_whole_words():
+    long = "w" * 3000
+    assert pii.contexts(f"a {long} x5@y {long} b", 3003, 3007)[:3] == [f"a {long} _", f"{long} _ {long}", f"_ {long} b"]
+    assert pii.contexts("x5@y", 0, 4) == [] and pii.shape("Ab1-22@x") == "a9-9@a"
+
+
 def test_long_digit_runs_are_quick():
     import time
 
