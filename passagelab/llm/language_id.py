@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagelab.llm.common import map_batches
+from passagelab.llm.common import free_name, map_batches
 
 UNKNOWN = "und"
 DIMENSIONS, SEED = 1024, 20_011
@@ -176,14 +176,14 @@ def predict_text(text: str | None, model: Model, vectors: Space) -> tuple[str, f
     return model.languages[best], float(min(1.0, max(0.0, cosines[best])))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the cosine, not below 0); nothing but the text decides.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (or other `names`) (the cosine, not below 0); nothing but the text decides.
 
     Null texts and texts without a letter are `und` with score 0, as is every text if no
     language was learned. Ties go to the language that sorts first. Equal texts get equal
-    results; an empty table stays empty. Columns named lang_pred and score are replaced.
+    results; an empty table stays empty. Columns that have these names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +191,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             found = [predict_text(x.as_py(), model, vectors) for x in batch.column(text_col)]
             langs, scores = [x for x, _ in found], [x for _, x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
-    return map_batches(docs.select(kept), run, f"{schema}, lang_pred string, score double")
+    return map_batches(docs.select(kept), run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -209,6 +209,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """documents whose language can be told: those that are `und` go, all others stay unchanged."""
+    """documents whose language can be told: those that are `und` go, all others stay unchanged, with all their columns, under any name.
+
+    Null and empty texts and texts without a letter go; rows that repeat an id or a text are judged each by itself, and so alike; null ids are never held
+    out of the training; ties go to the language that sorts first, and the row stays. An empty table stays empty; if no language can be learned, all rows go.
+    """
     model = train(docs.where(~held_out()))
-    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    names = (free_name(docs, "lang_pred"), free_name(docs, "score"))
+    return predict(docs, model, names=names).where(F.col(names[0]) != UNKNOWN).select(docs.columns)

@@ -52,16 +52,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp long) of each row; fp holds the fingerprint's 64 bits as a signed long."""
+    """(id, text_hash, fp long) of each row; fp holds the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_py(), shingle) for x in batch.column("text")]
             values = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(values)], ["id", "text_hash", "fp"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(chosen, run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return map_batches(chosen, run, "id long, text_hash long, fp long")
 
 
 def _close(a: str, b: str):
@@ -113,23 +114,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any other. `copies` counts the rows with the same fingerprint. An empty table gives an
     empty result; other columns are ignored.
     """
+    prints, named = _classes(docs, id_col, text_col, shingle, crowd)
+    return prints.join(small(named, named.count()), "fp").select("id", "fp", "component", "copies")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash, fp) of each row, and (fp, root, component, copies) of each fingerprint."""
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "nodes")
     edges = links(nodes.select("fp"), crowd)
     grouped = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left")
     grouped = grouped.withColumn("root", F.coalesce("component", "fp")).drop("component")
     linked = grouped.groupBy("root").agg(F.min("first").alias("component"))
-    named = written(grouped.join(linked, "root").select("fp", "component", "copies"), "classes")
+    named = written(grouped.join(linked, "root").select("fp", "root", "component", "copies"), "classes")
     forget(edges, nodes)
-    return prints.join(small(named, named.count()), "fp").select("id", "fp", "component", "copies")
+    return prints, named
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """documents without all but one of each group of near-duplicates: the one with the smallest doc_id stays.
+    """documents without all but one of each group of near-duplicates: the one with the smallest doc_id stays (null ids come last).
 
-    Rows that repeat a doc_id stay once for each text. Rows with a null doc_id stay, once for
-    each text, if some group has no other id.
+    Rows that repeat a doc_id are told apart by their texts (ties: the smaller hash stays), and of rows that repeat both one stays.
     """
-    kept = near_duplicates(docs, shingle=shingle).where("id <=> component").select("id").distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"])
+    prints, named = _classes(docs, "doc_id", "text", shingle, 64)
+    row = F.struct(F.col("id").isNull().alias("unknown"), "id", "text_hash")
+    first = prints.join(small(named, named.count()), "fp").groupBy("root").agg(F.min(row).alias("first")).select("first.id", "first.text_hash").distinct()
+    kept = written(first, "kept")
+    forget(prints, named)
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["text_hash"])
+    return docs.join(small(kept, kept.count()), same, "left_semi").dropDuplicates(["doc_id", "text"])

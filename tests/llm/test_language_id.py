@@ -64,6 +64,11 @@ def test_odd_rows(spark):
     assert kept.columns == odd(spark).columns and kept.count() == 7
 
 
+def test_other_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(k, t, "en", k + 0.5, "kept", "x") for k, t in enumerate(["one two three words", "12 !", "more words here"])], "doc_id long, text string, lang string, score double, lang_pred string, _score string")
+    assert sorted(tuple(r) for r in keep_identified(docs).collect()) == [(0, "one two three words", "en", 0.5, "kept", "x"), (2, "more words here", "en", 2.5, "kept", "x")]
+
+
 def test_nothing_learned(spark):
     model = train(empty(spark))
     assert predict_text("some text", model, Space(1024, 1)) == ("und", 0.0)

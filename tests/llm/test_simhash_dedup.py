@@ -74,12 +74,17 @@ def test_keep_one_of_each_group(spark):
     assert kept.columns == odd(spark).columns
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[6] == 1 and ids[2] == 1 and 3 not in ids and 4 not in ids
-    assert ids[None] == 2  # the null text has a group with ids; its row stays with the other row of a null id
+    assert ids[None] == 1  # the null text is in a group with ids; the other row of a null id is alone
     docs = documents(spark)
     classes_of = {r.component for r in near_duplicates(docs, shingle=5).collect()}
     assert {r.doc_id for r in keep_one(docs).collect()} == classes_of
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "h i j k l m n"), (2, "a b c d e f g"), (2, "h i j k l m n"), (3, "h i j k l m n")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in keep_one(docs).collect()) == [(1, "a b c d e f g"), (2, "h i j k l m n")]
+
+
 def test_components(spark):
     import random
 
