@@ -19,14 +19,15 @@ def zero(c: Column) -> Column:
 
 def sampled(runs: DataFrame, most: int) -> DataFrame:
     """(doc_id, strategy_id, text) of a systematic sample of each run's chunks. runs: one row with `chunks` for each run."""
-    return runs.select("doc_id", "strategy_id", F.explode(T.let(F.col("chunks"), lambda c: F.transform(K.sample_places(F.size(c), most), lambda i: F.get(c, i)["text"]))).alias("text"))
+    texts = T.let(F.col("chunks"), lambda c: F.transform(K.sample_places(F.size(c), most), lambda i: F.get(c, i)["text"]))
+    return runs.select("doc_id", "strategy_id", F.explode_outer(texts).alias("text")).where("text is not null")
 
 
 def sampled_pairs(runs: DataFrame, most: int) -> DataFrame:
     """(doc_id, strategy_id, a, b): a systematic sample of neighbouring chunks."""
     both = lambda c, i: F.struct(F.get(c, i)["text"].alias("a"), F.get(c, i + 1)["text"].alias("b"))
     pairs = T.let(F.col("chunks"), lambda c: F.transform(K.sample_places(F.greatest(F.size(c) - 1, F.lit(0)), most), lambda i: both(c, i)))
-    return runs.select("doc_id", "strategy_id", F.explode(pairs).alias("p")).select("doc_id", "strategy_id", "p.a", "p.b")
+    return runs.select("doc_id", "strategy_id", F.explode_outer(pairs).alias("p")).where("p is not null").select("doc_id", "strategy_id", "p.a", "p.b")
 
 
 SUMS = ("n", "t", "tt", "useful", "words", "indexed")

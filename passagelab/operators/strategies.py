@@ -314,7 +314,8 @@ def make(strategy_id: str, **config) -> Strategy:
 
 def chunk_rows(df: DataFrame, *keys: str) -> DataFrame:
     """One row for each chunk: the key columns and the chunk's fields."""
-    return df.select(*keys, F.explode("chunks").alias("_c")).select(*keys, "_c.*")
+    # the outer form, as the optimizer puts a filter with the whole expression of the array below the other one, which computes it twice
+    return df.select(*keys, F.explode_outer("chunks").alias("_c")).where("_c is not null").select(*keys, "_c.*")
 
 
 def chunk_documents(docs: DataFrame, strategy: Strategy, judge: Judge | None = None, key: str = "doc_id") -> DataFrame:

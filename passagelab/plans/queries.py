@@ -130,7 +130,7 @@ def passage_slices(spark, sf_dir):
 
 @query(f"SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES('text')} AS s FROM ({DOCS}))")
 def sentence_split(spark, sf_dir):
-    found = documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    found = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("pos", "sentence")).where("pos is not null")
     return found.withColumn("pos", long("pos"))
 
 
@@ -179,7 +179,7 @@ def sliding_summary(spark, sf_dir):
 
 
 def _pieces(df: DataFrame) -> DataFrame:
-    rows = df.select("doc_id", "text", F.posexplode(K.recursive_split(F.col("text"), 600)).alias("index", "piece"))
+    rows = df.select("doc_id", "text", F.posexplode_outer(K.recursive_split(F.col("text"), 600)).alias("index", "piece")).where("index is not null")
     return rows.select("doc_id", long("index").alias("index"), long(F.length("piece")).alias("chars"), F.md5(F.col("piece").cast("binary")).alias("text_md5"), (T.index_of(F.col("text"), F.col("piece")) >= 0).alias("located"))
 
 
@@ -203,7 +203,7 @@ SELECT doc_id, unnest(range(len(m))) AS index, unnest(list_transform(m, lambda x
 def pair_merge(spark, sf_dir):
     df = paragraphs(spark, sf_dir).withColumn("s", K.recursive_split(F.col("text"), 600))
     df = JUDGE.pair_scores(df.withColumn("p", K.pairs_of(F.col("s"))), "p", "scores")
-    rows = df.select("doc_id", F.posexplode(K.merge_pairs(F.col("s"), F.col("scores"), 0.2)).alias("index", "t"))
+    rows = df.select("doc_id", F.posexplode_outer(K.merge_pairs(F.col("s"), F.col("scores"), 0.2)).alias("index", "t")).where("index is not null")
     return rows.select("doc_id", long("index").alias("index"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
 
 
