@@ -1,7 +1,10 @@
 import random
 
 import corpus_pipeline
+from passagelab.llm import shingle_dedup
+from passagelab.llm.blocks import MET
 from passagelab.llm.shingle_dedup import keep_one_similar
+from passagelab.llm.simhash_dedup import fingerprint
 from tests.llm.odd import empty, odd
 
 
@@ -64,3 +67,22 @@ def test_many_documents_that_share_a_passage(spark):
     docs += [(1000 + k, f"{docs[k][1]} end") for k in range(50)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id for r in keep_one_similar(frame).collect()} == set(range(400))
+
+
+def test_simhash_links_near_copies_without_the_exact_search(spark, monkeypatch):
+    """Copies whose fingerprints differ in a bit or two go by SimHash alone; a text of few other shingles whose fingerprint is close too stays, by the exact check."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(400)]
+    docs, pairs = [], 0
+    while pairs < 3:
+        words = [rng.choice(vocabulary) for _ in range(400)]
+        other = [*words[:-1], "changed"]
+        if 0 < (fingerprint(" ".join(words), 5) ^ fingerprint(" ".join(other), 5)).bit_count() <= 2:
+            docs += [" ".join(words), " ".join(other)]
+            pairs += 1
+    line = "one two three four five " * 40
+    docs += [f"{line} a b c", f"{line} x y z"]  # the repeats decide every bit
+    assert (fingerprint(docs[-1], 5) ^ fingerprint(docs[-2], 5)).bit_count() <= 2
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(shingle_dedup, "alike_blocks", lambda docs, *_: spark.createDataFrame([], MET))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == {0, 2, 4, 6, 7}
