@@ -232,6 +232,32 @@ def test_html(spark):
     assert rows[0].text == text and rows[0].structure.pages is None and rows[1].text == ""
 
 
+def test_html_by_expressions(spark):
+    """Headings stand at the first place of their text, and references without a semicolon stay, as in the SQL of the queries."""
+    pages = [(1, "<head><title>t</title></head><p>One two</p><h1>One</h1>x<H2> A &amp; B&amp </H2><h3>One</h3>"), (2, "<p>none</p>"), (3, None), (4, "<noscript><h1>gone</h1></noscript>x")]
+    frame = spark.createDataFrame(pages, "doc_id long, html string")
+    rows = {r.doc_id: r for r in html.with_structure_by_expressions(frame).collect()}
+    assert rows[1].text == "One twoOnex A & B&amp One"
+    assert [tuple(h) for h in rows[1].structure.headings] == [(1, "One", 0, 3), (2, "A & B&amp", 12, 21), (3, "One", 22, 25)]
+    assert (rows[2].text, rows[2].structure.headings, rows[3].text, rows[3].structure.headings) == ("none", [], "", [])
+    assert [(h.text, h.start) for h in rows[4].structure.headings] == [("gone", -1)] and rows[4].text == "x"
+
+
+@pytest.mark.parametrize("name", ["html_headings", "structure_sections", "structure_aware"])
+def test_pages_match_their_sql(spark, tmp_path, name):
+    """A heading whose text stands in front of it already, and one that ends in a reference without a semicolon."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    pages = [(1, "<p>Same words</p><h1>Same words</h1><p>More of it.</p>"), (2, "<h1>Here &amp</h1><p>More &amp; more.</p>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        wanted = sorted(duck.execute(oracle_sql()[name]).fetchall())
+    assert sorted(map(tuple, queries()[name](spark, str(tmp_path)).collect())) == wanted and len(wanted) == 2
+
+
 def test_pdf(spark):
     items = [(1, 1, 0, "Title", 20.0), (1, 1, 1, "body text", 10.0), (1, 1, 2, "ab", 30.0), (1, 2, 0, " Head ", 14.0), (1, 2, 1, "more", 10.0), (1, 3, 0, "end", 11.5), (2, 1, 0, "zero", 0.0)]
     frame = spark.createDataFrame(items, "doc_id long, page int, seq int, str string, height double")
