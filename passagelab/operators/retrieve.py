@@ -1,19 +1,28 @@
 """Ranking chunks for queries, judgments of relevance, and precision."""
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from passagelab.functions import text as T
 from passagelab.functions.judges import RANK_CHARS, TextJudge
 from passagelab.shipping import ship
 
 TOP_K = 5
-#: Queries times numbers in a vector, up to which the queries' side may be broadcast (about 64 MB).
+#: Numbers in the vectors of queries that are sent to all tasks at once (64 MB).
 BROADCAST_NUMBERS = 8_000_000
+#: Items and queries whose scores a task has at once (16 MB).
+ITEMS_AT_ONCE, QUERIES_AT_ONCE = 4_096, 512
+#: Digits of scores that are compared.
+DIGITS = 9
 
 
 def candidates(chunks: DataFrame, children_only: bool = False) -> DataFrame:
@@ -61,24 +70,153 @@ class FunctionEmbedder:
         return df.withColumn(out, F.pandas_udf(run, "array<float>").asNondeterministic()(F.col(text)))
 
 
+def _unit_vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: (rows, vectors of length one, or zeros) of a column of lists. Rows that are null or have a null in them are left out."""
+    column = column.cast(pa.list_(pa.float64()))
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    ends = np.cumsum(sizes)
+    bad = sizes == 0
+    if values.null_count:
+        bad[np.searchsorted(ends, np.flatnonzero(values.is_null().to_numpy(zero_copy_only=False)), "right")] = True
+    numbers, out = values.to_numpy(zero_copy_only=False), {}
+    for n in np.unique(sizes[~bad]).tolist():
+        rows = np.flatnonzero((sizes == n) & ~bad)
+        own = numbers[(ends[rows] - n)[:, None] + np.arange(n)]
+        norm = np.sqrt(np.einsum("ij,ij->i", own, own))[:, None]
+        with np.errstate(invalid="ignore"):
+            out[n] = rows, np.where(norm == 0, 0.0, own / np.where(norm == 0, 1.0, norm))
+    return out
+
+
+class _Nearest:
+    """The k best items of one group for each query, of all blocks that were added. Scores are compared with DIGITS digits, then the items' `order`, nulls first."""
+
+    def __init__(self, queries: dict[int, tuple[np.ndarray, np.ndarray]], n: int, k: int):
+        self.queries, self.n, self.k = queries, n, k
+        self.places = np.empty((n, 0), np.int64)  # of each query's best items, in `order`
+        self.scores = np.empty((n, 0))
+        self.order: pa.Array | None = None
+
+    def add(self, vectors: dict[int, tuple[np.ndarray, np.ndarray]], order: pa.Array) -> None:
+        known = 0 if self.order is None else len(self.order)
+        every = order if self.order is None else pa.concat_arrays([self.order, order])
+        last = np.empty(len(every), np.int64)  # the first item has the greatest number
+        last[pc.array_sort_indices(every, null_placement="at_start").to_numpy()] = np.arange(len(every) - 1, -1, -1)
+        keep = min(self.k, self.places.shape[1] + len(order))
+        places, scores = np.empty((self.n, keep), np.int64), np.empty((self.n, keep))
+        for first in range(0, self.n, QUERIES_AT_ONCE):
+            end = min(self.n, first + QUERIES_AT_ONCE)
+            fresh = np.zeros((end - first, len(order)))
+            for size, (rows, own) in self.queries.items():
+                a, b = np.searchsorted(rows, [first, end])
+                if size in vectors and a < b:
+                    found, theirs = vectors[size]
+                    dots = own[a:b] @ theirs.T
+                    if dots.shape == fresh.shape:
+                        fresh = dots
+                    else:
+                        fresh[np.ix_(rows[a:b] - first, found)] = dots
+            held, held_keys = self.places[first:end], _keys(self.scores[first:end], last[self.places[first:end]])
+            keys = _keys(fresh, last[known:])
+            if held.shape[1] == self.k:  # most items of a block are behind the k that are known
+                at, item = np.nonzero(keys > held_keys.min(axis=1)[:, None])
+                most = np.bincount(at, minlength=end - first)
+                width = int(most.max(initial=0))
+                slot = np.arange(len(at)) - np.repeat(np.cumsum(most) - most, most)
+                new_keys, new_places, new_scores = np.full((end - first, width), np.iinfo(np.int64).min), np.zeros((end - first, width), np.int64), np.zeros((end - first, width))
+                new_keys[at, slot], new_places[at, slot], new_scores[at, slot] = keys[at, item], known + item, fresh[at, item]
+            else:
+                new_keys, new_places, new_scores = keys, np.broadcast_to(known + np.arange(len(order)), keys.shape), fresh
+            all_keys = np.hstack((held_keys, new_keys))
+            best = np.argpartition(all_keys, all_keys.shape[1] - keep, axis=1)[:, all_keys.shape[1] - keep :] if all_keys.shape[1] > keep else np.broadcast_to(np.arange(keep), all_keys.shape)
+            places[first:end] = np.take_along_axis(np.hstack((held, new_places)), best, 1)
+            scores[first:end] = np.take_along_axis(np.hstack((self.scores[first:end], new_scores)), best, 1)
+        used, self.places = np.unique(places, return_inverse=True)
+        self.places = self.places.reshape(places.shape)
+        self.order, self.scores = every.take(pa.array(used)), scores
+
+    def rows(self) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        """(queries, order, scores)"""
+        width = self.places.shape[1]
+        step = max(1, 65_536 // max(1, width))
+        for first in range(0, self.n if width else 0, step):
+            own = self.places[first : first + step]
+            yield np.repeat(np.arange(first, first + len(own)), width), self.order.take(pa.array(own.reshape(-1))), self.scores[first : first + step].reshape(-1)
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores as whole numbers of DIGITS digits; what is no number comes first, as in Spark's order."""
+    with np.errstate(invalid="ignore"):
+        return np.rint(np.clip(np.where(np.isnan(scores), np.inf, scores), -1.07, 1.07) * 10**DIGITS).astype(np.int64)
+
+
+def _keys(scores: np.ndarray, last: np.ndarray) -> np.ndarray:
+    keys = _rounded(scores)
+    keys <<= 32
+    keys += last
+    return keys
+
+
 def rank_by_embedding(queries: DataFrame, items: DataFrame, k: int = TOP_K, within: tuple[str, ...] = ("doc_id", "strategy_id"), order: str = "chunk_index") -> DataFrame:
-    """(query_id, within, order, score, rank): the k items of each group that are nearest to each query; ties by `order`.
+    """(query_id, within, order, score, rank): the k items of each group that are nearest to each query; ties, of DIGITS digits, by `order`.
 
-    queries: (query_id, query_embedding): they are broadcast if their numbers are few, and otherwise meet the items in blocks. Only `k` rows of a query
-    and group leave a task, by a rank limit before the shuffle.
+    queries: (query_id, query_embedding). Every pair is compared, as matrix products of blocks: blocks of queries with at most BROADCAST_NUMBERS
+    numbers are sent to all tasks, which hold a few thousand items at once. For a group whose rows follow each other only `k` rows of a query leave a
+    task. A vector without length, with a null or of another length than the query's has the score 0.
     """
-    queries = queries.select("query_id", "query_embedding", T.norm(F.col("query_embedding")).alias("_nq"))
-    size = queries.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("query_embedding")), F.lit(0)).alias("numbers")).first()
-    dealt = max(1, -(-size["numbers"] // BROADCAST_NUMBERS))
-    items = items.select(*within, order, "embedding", T.norm(F.col("embedding")).alias("_ni"))
-    if dealt == 1:
-        scored = items.join(F.broadcast(queries), how="cross")
-    else:  # blocks of queries, each of a bounded size, against the items once each
-        block = F.pmod(F.xxhash64("query_id"), F.lit(dealt))
-        scored = items.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dealt - 1).cast("long")))).join(queries.withColumn("_b", block), "_b")
-    scored = scored.select("query_id", *within, order, T.cosine(F.col("query_embedding"), F.col("embedding"), F.col("_nq"), F.col("_ni")).alias("score"))
-    w = Window.partitionBy("query_id", *within).orderBy(F.col("score").desc(), order)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    spark = items.sparkSession
+    ship(spark)
+    queries = queries.select("query_id", "query_embedding")
+    numbers = queries.agg(F.coalesce(F.sum(F.size("query_embedding")), F.lit(0))).first()[0]
+    dealt = max(1, -(-numbers // BROADCAST_NUMBERS))
+    items = items.select(*within, order, "embedding")
+    fields = [queries.schema["query_id"], *(items.schema[c] for c in (*within, order))]
+    schema = StructType([*fields, StructField("score", DoubleType()), StructField("_rounded", LongType())])
+
+    def near(block: DataFrame) -> DataFrame:
+        table = block.toArrow().combine_chunks()
+        ids, vectors = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in table.columns)
+        held = spark.sparkContext.broadcast((ids, _unit_vectors(vectors)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vectors = held.value
+            group, state = None, None
+
+            def done() -> Iterator[pa.RecordBatch]:
+                for own, places, scores in state.rows() if state else ():
+                    same = [pa.repeat(g, len(own)) for g in group]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), *same, places, pa.array(scores), pa.array(_rounded(scores))], schema.names)
+
+            for batch in batches:
+                for a, b in _runs_of(batch, len(within)):
+                    own = [batch.column(c)[a] for c in range(len(within))]
+                    if own != group:
+                        yield from done()
+                        group, state = own, _Nearest(vectors, len(ids), k)
+                    for first in range(a, b, ITEMS_AT_ONCE):
+                        piece = batch.slice(first, min(b - first, ITEMS_AT_ONCE))
+                        state.add(_unit_vectors(piece.column("embedding")), piece.column(order))
+            yield from done()
+
+        return items.mapInArrow(run, schema)
+
+    blocks = [queries] if dealt == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(dealt)) == b) for b in range(dealt)]
+    scored = reduce(DataFrame.unionByName, map(near, blocks))
+    w = Window.partitionBy("query_id", *within).orderBy(F.col("_rounded").desc(), order)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_rounded")
+
+
+def _runs_of(batch: pa.RecordBatch, columns: int) -> list[tuple[int, int]]:
+    """Runs of rows that have the same first `columns` values."""
+    n = batch.num_rows
+    new = np.zeros(n + 1, bool)
+    new[[0, n]] = True
+    for c in batch.columns[:columns]:
+        code = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:n] |= code[1:] != code[:-1]
+    edges = np.flatnonzero(new).tolist()
+    return list(zip(edges, edges[1:])) if n else []
 
 
 def rank_by_judge(queries: DataFrame, chunks: DataFrame, judge: TextJudge, k: int = TOP_K) -> DataFrame:

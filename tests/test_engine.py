@@ -232,6 +232,35 @@ def test_html(spark):
     assert rows[0].text == text and rows[0].structure.pages is None and rows[1].text == ""
 
 
+def test_ranking_against_every_pair(spark, monkeypatch):
+    """Groups of all sizes that are cut by blocks, equal vectors, and vectors that are null, empty, without length, too short or hold a null."""
+    import random
+
+    monkeypatch.setattr(R, "BROADCAST_NUMBERS", 40)
+    rng = random.Random(7)
+    vectors = [[rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)] for _ in range(12)] + [None, [], [0.0] * 4, [1.0, 2.0], [1.0, None, 0.0, 1.0]]
+    items = [(i % 7 if i < 40 else 9, "s" if i % 3 else "t", f"{i * 37 % 101:03}", vectors[i * 5 % len(vectors)]) for i in range(101)]
+    items.sort(key=lambda r: r[0])
+    asked = [(q, vectors[q]) for q in range(len(vectors))]
+    frame = spark.createDataFrame(items, "doc_id long, strategy_id string, chunk_index string, embedding array<float>").coalesce(2)
+    found = R.rank_by_embedding(spark.createDataFrame(asked, "query_id long, query_embedding array<float>"), frame, 3)
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b:
+            return 0.0
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / size if size else 0.0
+
+    wanted = []
+    for q, v in asked:
+        for group in {r[:2] for r in items}:
+            best = sorted((-round(cosine(v, r[3]), 9), r[2]) for r in items if r[:2] == group)[:3]
+            wanted += [(q, *group, c, round(0.0 - s, 6), k + 1) for k, (s, c) in enumerate(best)]
+    assert sorted((r.query_id, r.doc_id, r.strategy_id, r.chunk_index, round(r.score, 6) + 0.0, r["rank"]) for r in found.collect()) == sorted(wanted)
+    assert R.rank_by_embedding(spark.createDataFrame(asked[:0], "query_id long, query_embedding array<float>"), frame, 3).count() == 0
+    assert "BatchEvalPython" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_html_by_expressions(spark):
     """Headings stand at the first place of their text, and references without a semicolon stay, as in the SQL of the queries."""
     pages = [(1, "<head><title>t</title></head><p>One two</p><h1>One</h1>x<H2> A &amp; B&amp </H2><h3>One</h3>"), (2, "<p>none</p>"), (3, None), (4, "<noscript><h1>gone</h1></noscript>x")]
