@@ -183,3 +183,28 @@ def test_answers_of_models(spark):
     objects = column(spark, said, "t string", T.first_object(F.col("t"), "struct<score: double>"))
     assert objects[4].score == 0.7 and objects[1] is None
     assert column(spark, [('a ["x", "y"] b ["z"]',)], "t string", T.first_list(F.col("t"), "array<string>")) == [["x", "y"]]
+
+
+def test_pieces_are_looked_for_from_their_place(spark):
+    """Long texts of many sentences: a search that counts characters from the beginning for each sentence takes minutes for these."""
+    import time
+
+    from passagelab.functions.judges import HeuristicJudge
+    from passagelab.operators.strategies import Agentic
+
+    text = " ".join(f"Sentence number {k} says é." for k in range(60_000))
+    frame = spark.createDataFrame([(1, text), (2, "One. One. Two."), (3, "")], "doc_id long, text string")
+    began = time.time()
+    done = {r.doc_id: r.chunks for r in Agentic().apply(frame, HeuristicJudge()).collect()}
+    assert time.time() - began < 40
+    assert len(done[1]) == 60_000 and all(text[c.start : c.end] == c.text and c.located for c in done[1])
+    assert [(c.start, c.end) for c in done[2]] == [(0, 4), (5, 9), (10, 14)] and done[3] == []
+
+
+def test_searches_in_order(spark):
+    rows = [(1, "aé b aé", ["aé", "aé", "zz", "b", "", None]), (2, None, ["x"]), (3, "x", None), (4, "x", [])]
+    frame = spark.createDataFrame(rows, "k int, t string, p array<string>")
+    found = {r.k: r for r in frame.select("k", K.place_in_order(F.col("t"), F.col("p")).alias("v"), K.contained(F.col("t"), F.col("p")).alias("c")).collect()}
+    assert [tuple(x)[1:] for x in found[1].v] == [(0, 2, True), (5, 7, True), (7, 9, False), (9, 10, False), (0, 0, True), (0, None, None)]
+    assert found[1].c == [True, True, False, True, True, None]
+    assert [tuple(x) for x in found[2].v] == [("x", 0, 1, None)] and found[2].c == [None] and found[3].v is None and found[3].c is None and found[4].v == []
