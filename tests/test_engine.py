@@ -261,6 +261,23 @@ def test_ranking_against_every_pair(spark, monkeypatch):
     assert "BatchEvalPython" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_a_report_reads_the_documents_once(spark):
+    """The report's three parts share one table of metrics: its plan reads no files."""
+    from __spark_entry__ import queries
+
+    report = queries()["export_markdown_lines"](spark, "/root/testdata/sf0.001")
+    assert "documents.parquet" not in report._jdf.queryExecution().toString() and report.count() == 35
+
+
+def test_scores_and_words_are_made_once(spark):
+    """Neither does a filter compute all scores of pairs again, nor is a chunk's text split twice to count its words."""
+    from __spark_entry__ import queries
+
+    plan = lambda name: queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("sentence_pairs_similarity").count("array_intersect") == 1
+    assert plan("chunk_stats").count("lower(") == 1
+
+
 def test_html_by_expressions(spark):
     """Headings stand at the first place of their text, and references without a semicolon stay, as in the SQL of the queries."""
     pages = [(1, "<head><title>t</title></head><p>One two</p><h1>One</h1>x<H2> A &amp; B&amp </H2><h3>One</h3>"), (2, "<p>none</p>"), (3, None), (4, "<noscript><h1>gone</h1></noscript>x")]
